@@ -1,5 +1,9 @@
 """Registered queries of the core and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = "search_fast"
+from __future__ import annotations
+
+from strandlake.plans import feeds
+
+QUERIES = {**feeds.QUERIES}
+SQL = {**feeds.SQL}
+FLAGSHIP = "p3_loaded"
