@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def cut_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write `df` as a table in the shared checkpoint folder; the table, and its path for `discard`."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder; a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` read back from the shared checkpoint folder: a lost executor costs no recomputation, and no
+    plan grows with the number of steps before it."""
+    return cut_table(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of `cut_table` that nothing reads any more."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, n_left: int, how: str = "left") -> DataFrame:
