@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.session import HOT_MIN_ROWS, HOT_SHARE, cut_lineage, lookup_join
+from strandlake.session import HOT_MIN_ROWS, HOT_SHARE, cut_lineage, cut_table, discard, lookup_join
 
 
 def _order(c: str, seed: int) -> Column:
@@ -40,7 +40,7 @@ def link_groups(edges: DataFrame, a: str, b: str, seed: int = 7) -> DataFrame:
     An empty table gives no rows. Other columns are ignored.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    edge = cut_lineage(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edge, path = cut_table(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[tuple[DataFrame, int]] = []
     while n_edges := edge.count():
         step = seed * 1_000_003 + len(maps)
@@ -50,7 +50,9 @@ def link_groups(edges: DataFrame, a: str, b: str, seed: int = 7) -> DataFrame:
         rep = cut_lineage(rep)
         maps.append((rep.select("v", "rep"), rep.count()))
         moved = _relabel(_relabel(edge, "a", rep, n_edges), "b", rep, n_edges)
-        edge = cut_lineage(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        old = path
+        edge, path = cut_table(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        discard(edge.sparkSession, old)
     if not maps:
         return edge.select(F.col("a").alias("member"), F.col("b").alias("root"))
     root = maps[-1][0]
