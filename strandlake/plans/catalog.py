@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandlake.plans import feeds
+from strandlake.plans import database, feeds, results
 
-QUERIES = {**feeds.QUERIES}
-SQL = {**feeds.SQL}
-FLAGSHIP = "p3_loaded"
+QUERIES = {**feeds.QUERIES, **database.QUERIES, **results.QUERIES}
+SQL = {**feeds.SQL, **database.SQL, **results.SQL}
+FLAGSHIP = "search_fast"
