@@ -1,0 +1,245 @@
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandlake.functions import alphabet as A
+from strandlake.functions import matrices as M
+from strandlake.functions import statistics as S
+from strandlake.operators import masking, seeds
+from strandlake.operators.alignment import align, align_pairs, alignment_stats
+from strandlake.operators.hits import best_seeds, top_hits, top_proteins
+from strandlake.operators.intervals import merge_stretches
+from strandlake.operators.seeds import contexts, hsp_table, hsps, seed_walk, suffix_index
+from strandlake.options import SearchOptions
+from strandlake.plans.search import build_index, load_index, query_table, search_fast, search_tabular
+from strandlake.sources.fasta import read_fasta, write_fasta
+
+TABLE = hsp_table()
+ENCODE = str.maketrans(A.SIMILARITY_ORDER, A.INTERNAL)
+
+
+def internal(text: str) -> str:
+    return text.translate(ENCODE)
+
+
+def test_matrix_is_symmetric_and_has_its_marks():
+    m = M.matrix()
+    assert (m == m.T).all() and m.min() == -4 and m.max() == 11
+    x, stop = A.MATRIX_ORDER.index("X"), A.MATRIX_ORDER.index("*")
+    assert m[x, x] == -1 and m[stop, stop] == 1
+    with pytest.raises(ValueError):
+        M.matrix("UNKNOWN1")
+    with pytest.raises(ValueError):
+        M.matrix("PAM30")
+
+
+def test_matrix_from_a_file(tmp_path):
+    (tmp_path / "PAM1").write_text("# own\n   A  X\nA  3 -1\nX -1 -2\n")
+    m = M.matrix("PAM1x", str(tmp_path))
+    a, w = A.MATRIX_ORDER.index("A"), A.MATRIX_ORDER.index("W")
+    assert m[a, a] == 3 and m[a, w] == -1 and m[w, w] == -2
+
+
+def test_cleaning(spark):
+    df = spark.createDataFrame([("aCzß-\n*\rOU",), (None,), ("",)], "r string")
+    got = [tuple(r) for r in df.select(A.clean_residues(F.col("r")), A.to_internal(A.clean_residues(F.col("r")))).collect()]
+    assert got == [("ACXXX*XOU", internal("ACXXX*XXX")), (None, None), ("", "")]
+
+
+def test_statistics(spark):
+    row = spark.range(1).select(
+        S.length_correction(F.lit(300.0), F.lit(1e6), SearchOptions()),
+        S.evalue(F.lit(100), F.lit(300.0), F.lit(1e6), F.lit(3000.0), SearchOptions()),
+        S.bit_score(F.lit(100), SearchOptions()),
+        S.evalue(F.lit(60), F.lit(100.0), F.lit(1e6), F.lit(3000.0), SearchOptions()),
+        S.evalue(F.lit(2000), F.lit(300.0), F.lit(1e6), F.lit(3000.0), SearchOptions()),
+        S.bit_score(F.lit(2000), SearchOptions()),
+    ).first()
+    want = (116.60792728816175, 1.2403173787824944e-05, 43.12818987177933, 0.0030469431370572352, 0.0, 775.0073841147505)
+    assert all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(row, want, strict=True))
+
+
+def test_options_are_checked():
+    for wrong in ({"min_length": 2}, {"alignments": 0}, {"gap_open": 0}):
+        with pytest.raises(ValueError):
+            SearchOptions(**wrong)
+    assert SearchOptions().fast().alignments == 1500
+
+
+def scalar_alignment(q: str, t: str, gap_open: int, gap_extend: int) -> tuple[int, int, int]:
+    best, low = (0, -1, -1), -(10**9)
+    h = [[0] * (len(t) + 1) for _ in range(len(q) + 1)]
+    e = [[low] * (len(t) + 1) for _ in range(len(q) + 1)]
+    f = [[low] * (len(t) + 1) for _ in range(len(q) + 1)]
+    for j in range(1, len(t) + 1):
+        for i in range(1, len(q) + 1):
+            e[i][j] = max(e[i][j - 1] - gap_extend, h[i][j - 1] - gap_open)
+            f[i][j] = max(f[i - 1][j] - gap_extend, h[i - 1][j] - gap_open)
+            h[i][j] = max(0, h[i - 1][j - 1] + int(TABLE[ord(q[i - 1]) - 65, ord(t[j - 1]) - 65]), e[i][j], f[i][j])
+            if h[i][j] > best[0]:
+                best = h[i][j], i - 1, j - 1
+    return best
+
+
+def test_alignment_goldens():
+    pairs = [("HEAGAWGHEE", "PAWHEAE"), ("MKVLAAGIVALLLAACSSNKTYQRWDE", "GGMKVLAAGIVGALLLAACSSNKTYQRWDEHH"), ("", "A"), ("A", "")]
+    got = align_pairs([internal(q) for q, _ in pairs], [internal(t) for _, t in pairs], TABLE, 11, 1)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [(17, 8, 4), (125, 26, 29), (0, -1, -1), (0, -1, -1)]
+
+
+@pytest.mark.parametrize(("gap_open", "gap_extend"), [(11, 1), (5, 2), (3, 3)])
+def test_alignment_against_scalar(gap_open, gap_extend):
+    random.seed(gap_open)
+    qs, ts = [], []
+    for _ in range(120):
+        q = "".join(random.choices("ABCDEJKX", k=random.randint(0, 25)))
+        t = list(q)
+        for _ in range(random.randint(0, 4)):
+            k = random.randrange(len(t) + 1)
+            t[k : k + random.randint(0, 3)] = random.choices(A.INTERNAL, k=random.randint(0, 2))
+        qs.append(q)
+        ts.append("".join(t))
+    got = align_pairs(qs, ts, TABLE, gap_open, gap_extend)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [scalar_alignment(q, t, gap_open, gap_extend) for q, t in zip(qs, ts, strict=True)]
+
+
+def test_alignment_statistics(spark):
+    q, t = internal("MKVLAAGIVALLLAACSSNKTYQRWDE"), internal("GGMKVLAAGIVGALLLAACSSNKTYQRWDEHH")
+    df = spark.createDataFrame([(1, q, t), (2, q, q), (3, "", t), (4, None, None)], "k int, q string, t string")
+    rows = {r.k: r for r in alignment_stats(align(df, "q", "t", SearchOptions()), "q", "t", SearchOptions()).collect()}
+    assert (rows[1].qstart, rows[1].sstart, rows[1].length, rows[1].gapopen) == (0, 2, 27, 1)
+    assert (rows[2].length, rows[2].mismatch, rows[2].gapopen, rows[2].identity) == (26, 0, 0, 1.0)
+    assert rows[3].length == rows[4].length == -1
+
+
+def place(record: str, at: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    return contexts([record[at:]], 128), contexts([record[max(first, at - 127) : at][::-1]], 127)
+
+
+@pytest.mark.parametrize(("q_at", "record", "p_at", "want"), [(0, "GGMKVLAAGIV", 2, (40, 8)), (4, "GGMKVLAAGIV", 6, (35, 7)), (4, "MKVLAAGIV", 4, (35, 7)), (0, "AAAA", 0, (0, -1))])
+def test_hsp_goldens(q_at, record, p_at, want):
+    q, p = place(internal("MKVLAAGIV"), q_at, 1), place(internal(record), p_at, 0)
+    score, length = hsps(q[0], p[0], q[1], p[1], TABLE)
+    assert (int(score[0]), int(length[0])) == want
+
+
+def plain_hsp(q: str, i: int, p: str, j: int) -> tuple[int, int]:
+    if q[i] != p[j]:
+        return 0, -1
+    total, spans = 0, 0
+    for step, steps in ((1, range(min(len(q) - i, len(p) - j, 128))), (-1, range(1, min(i, j + 1, 128)))):
+        run = best = at = 0
+        for k in steps:
+            run += int(TABLE[ord(q[i + step * k]) - 65, ord(p[j + step * k]) - 65])
+            if run >= best:
+                best, at = run, k
+        total, spans = total + best, spans + at
+    return total, spans
+
+
+def plain_walk(queries: list[str], proteins: list[str], least: int) -> list[tuple]:
+    order = sorted((p[s : s + 128], k, s) for k, p in enumerate(proteins) for s in range(len(p)))
+    out = []
+    for n, q in enumerate(queries):
+        for i in range(len(q) - least):
+            if q[i] == A.UNKNOWN_INTERNAL:
+                continue
+            at = sum(s[0] < q[i : i + 128] for s in order)
+            for step, pos in ((1, at), (-1, at - 1)):
+                while 0 <= pos < len(order):
+                    _, k, s = order[pos]
+                    score, length = plain_hsp(q, i, proteins[k], s)
+                    if length < least:
+                        break
+                    out.append((n, i, k, s, step, score, length))
+                    pos += step
+    return sorted(out)
+
+
+def family(seed: int) -> tuple[list[str], list[str]]:
+    random.seed(seed)
+    parent = "".join(random.choices("ABCDEFGHIJ", k=40))
+    copies = ["".join(random.choice(A.INTERNAL) if random.random() < 0.15 else c for c in parent) for _ in range(8)]
+    return [copies[0][5:30], copies[1][:12] + "VVV" + copies[1][15:], "A", "", copies[2][3:25]], [*copies[2:], parent, parent, "", "B" * 30]
+
+
+@pytest.mark.parametrize("part_rows", [60_000, 25])
+def test_walk_against_plain_walk(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(seeds, "PART_ROWS", part_rows)
+    monkeypatch.setattr(seeds, "LOOKUP_ROWS", part_rows)
+    queries, proteins = family(4)
+    q = spark.createDataFrame(list(enumerate(queries)) + [(99, None), (None, "ABCDEFGH")], "query_idx long, residues string")
+    p = spark.createDataFrame(list(enumerate(proteins)) + [(77, None)], "protein_idx long, residues string")
+    got = seed_walk(q, suffix_index(p), SearchOptions())
+    assert sorted(tuple(r) for r in got.collect()) == plain_walk(queries, proteins, 5)
+
+
+def test_walk_over_an_empty_database(spark):
+    q = spark.createDataFrame([(1, "ABCDEFGH")], "query_idx long, residues string")
+    p = spark.createDataFrame([], "protein_idx long, residues string")
+    assert seed_walk(q, suffix_index(p), SearchOptions()).count() == 0
+
+
+def test_hit_lists(spark):
+    seeds_ = spark.createDataFrame([(1, 0, 5, 0, 1, 30, 9), (1, 3, 5, 2, 1, 30, 9), (1, 3, 6, 0, 1, 30, 7), (1, 1, 7, 0, 1, 50, 4)], "query_idx long, q_start int, protein_idx long, p_start int, direction int, score int, length int")
+    best = best_seeds(seeds_)
+    assert {tuple(r) for r in best.select("protein_idx", "gapless_score", "gapless_length", "suffix_counter", "suffix_offset", "suffix_multiple").collect()} == {(5, 30, 9, 2, 0, 1), (6, 30, 7, 1, 3, 0), (7, 50, 4, 1, 1, 0)}
+    lengths = spark.createDataFrame([(1, 100)], "query_idx long, m int")
+    assert {r.protein_idx for r in top_proteins(best, lengths, SearchOptions(alignments=2)).collect()} == {7, 5}
+    long = spark.createDataFrame([(1, 3001)], "query_idx long, m int")
+    assert top_proteins(best, long, SearchOptions(alignments=1, hits=2)).count() == 3
+    aligned = spark.createDataFrame([(1, 5, 50.0, 1e-9, 40, True), (1, 6, 50.0, 1e-9, 60, True), (1, 7, 9.0, 1.0, 60, True), (1, 8, 99.0, 0.0, 60, False)], "query_idx long, protein_idx long, bitscore double, evalue double, gapless_score int, is_aligned boolean")
+    assert [(r.protein_idx, r.hit_rank) for r in top_hits(aligned, SearchOptions()).orderBy("hit_rank").collect()] == [(6, 1), (5, 2)]
+
+
+def test_merged_stretches(spark):
+    df = spark.createDataFrame([("a", 1, 4), ("a", 4, 6), ("a", 2, 3), ("a", 8, 9), ("a", 8, 9), (None, 1, 1), ("a", None, 3)], "g string, b int, e int")
+    assert {tuple(r) for r in merge_stretches(df, ["g"], "b", "e").collect()} == {("a", 1, 6, 3), ("a", 8, 9, 2), (None, 1, 1, 1)}
+
+
+def test_masking():
+    text = "MKLDEFWYHIKLMNPQRSTV" + "Q" * 20 + "WLMNHGFDSAREKCYTVILP"
+    assert masking.mask(text) == text[:20] + "X" * 20 + text[40:]
+    assert masking.mask("QQQQQQQQQQQ") == "QQQQQQQQQQQ"
+    assert masking.mask(None) is None and masking.mask("") == ""
+    random.seed(1)
+    for _ in range(50):
+        text = "".join(random.choices("ACDEFGHIKLMNPQRSTVWYX", weights=[9] + [1] * 20, k=random.randint(0, 90)))
+        done = masking.mask(text)
+        assert len(done) == len(text) and all(a in (b, "X") for a, b in zip(done, text, strict=True))
+
+
+def test_fasta_files(spark, tmp_path):
+    (tmp_path / "in.fa").write_text(">a one\nMKV\nLAz\n>b\n\n>c\tx\nAC")
+    rows = [(r.seq_id, r.residues) for r in read_fasta(spark, str(tmp_path / "in.fa")).orderBy("record_no").collect()]
+    assert rows == [("a", "MKVLAX"), ("b", ""), ("c", "AC")]
+    df = spark.createDataFrame([("x", "ACDEFGHIK"), ("y", ""), (None, None)], "i string, r string")
+    write_fasta(df, str(tmp_path / "out"), "i", "r", 4)
+    assert {(r.seq_id, r.residues) for r in read_fasta(spark, str(tmp_path / "out")).collect()} == {("x", "ACDEFGHIK"), ("y", ""), ("", "")}
+    (tmp_path / "bad.fa").write_text(">a\n>b")
+    with pytest.raises(Exception, match="no sequence"):
+        read_fasta(spark, str(tmp_path / "bad.fa")).collect()
+    (tmp_path / "not.fa").write_text("a\nMK")
+    with pytest.raises(ValueError, match="not FASTA"):
+        build_index(spark, str(tmp_path / "not.fa"), str(tmp_path / "no"))
+
+
+def test_whole_search_from_files(spark, tmp_path):
+    random.seed(8)
+    residues = ["".join(random.choices("ACDEFGHIKLMNPQRSTVWY", k=120)) for _ in range(6)]
+    (tmp_path / "db.fa").write_text("".join(f">p{k} protein\n{r}\n" for k, r in enumerate(residues)))
+    (tmp_path / "q.fa").write_text(f">q0\n{residues[3][10:90]}\n>q1\n{residues[5][:40] + residues[5][44:]}\n")
+    build_index(spark, str(tmp_path / "db.fa"), str(tmp_path / "index"))
+    proteins, suffixes = load_index(spark, str(tmp_path / "index"))
+    assert [tuple(r) for r in proteins.orderBy("protein_idx").select("seq_id", "protein_start", "header_start").collect()] == [(f"p{k}", 121 * k, 3 * k) for k in range(6)]
+    queries = query_table(read_fasta(spark, str(tmp_path / "q.fa")), SearchOptions(mask=False))
+    fast = {tuple(r)[:2] for r in search_fast(queries, proteins, suffixes, SearchOptions()).collect()}
+    assert fast == {("q0", "p3"), ("q1", "p5")}
+    rows = {r.qseqid: r for r in search_tabular(queries, proteins, suffixes, SearchOptions()).collect()}
+    assert (rows["q0"].pident, rows["q0"].length, rows["q0"].qstart, rows["q0"].sstart, rows["q0"].send) == ("100.00", 79, 1, 11, 90)
+    assert rows["q1"].gapopen == 1
