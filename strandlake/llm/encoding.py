@@ -183,7 +183,8 @@ class Model:
 
     def __init__(self, texts: list[str]) -> None:
         words = Words(_flat(texts))
-        counts = Counter(words.word(k) for k in range(len(words)))
+        # A word counts once a text, so that no long text outweighs the others.
+        counts = Counter(w for w, _ in {(words.word(k), int(words.text_of[k])) for k in range(len(words))})
         self.known: set[str] = set()
         # Some sample texts are garbled themselves: what is taken for garbled is no model of sound text.
         # Strict UTF-8 shows itself at once; the single-byte chains are told by the words known by then.
@@ -247,10 +248,11 @@ class Model:
             r = restore(word, CHAINS[c - 1])
             if r is None or r == word:
                 continue
-            if IS_UTF8[c] or core(r) in self.known:
+            known = core(r) in self.known
+            if known:
                 return int(c), r, True
-            if not guess[0]:
-                guess = int(c), r, False
+            if not guess[0] or (IS_UTF8[c] and not guess[2]):
+                guess = int(c), r, bool(IS_UTF8[c])
         return guess
 
     def repair(self, texts: list[str]) -> Iterator[tuple[int, str, int, str | None]]:
@@ -264,6 +266,12 @@ class Model:
             if not chains:
                 continue
             back = {w: r for w, (c, r, _) in words.items() if c in chains and r is not None}
+            # A text was mostly garbled by one chain: the one that gives most known words goes first.
+            whole = [c for c in chains if IS_UTF8[c]]
+            all_words = {own.word(k) for k in range(*np.searchsorted(own.text_of, [t, t + 1]))} if whole else set()
+            made = {c: {w: r for w in all_words if (r := restore(w, CHAINS[c - 1])) not in (None, w)} for c in whole}
+            for c in sorted(whole, key=lambda c: (sum(core(r) in self.known for r in made[c].values()), chains[c], -c)):
+                back |= made[c]
             text = WORD.sub(lambda m, back=back: back.get(m.group(), m.group()), texts[t]) if back else None
             most = min(chains, key=lambda c: (-chains[c], c))
             yield t, NAMES[most], sum(c in chains for c, _, _ in words.values()), text
@@ -290,10 +298,12 @@ def _repair(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def fit(docs: DataFrame, text: str) -> Model:
-    """A model of the texts of `docs`, fitted on SAMPLE_TEXTS of those beyond ASCII that a hash picks."""
+    """A model of the texts of `docs`, fitted on SAMPLE_TEXTS different ones beyond ASCII that a hash picks."""
     t = F.col("text")
-    some = docs.select(F.col(text).alias("text")).where(F.octet_length(t) > F.char_length(t))
-    rows = some.select(F.substring(t, 1, SAMPLE_CHARS).alias("text"), F.xxhash64(t).alias("h")).orderBy("h", "text").limit(SAMPLE_TEXTS).collect()
+    some = docs.select(F.col(text).alias("text")).where(F.octet_length(t) > F.char_length(t)).withColumn("h", F.xxhash64("text"))
+    chosen = some.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS)
+    own = some.join(F.broadcast(chosen), "h", "left_semi").select("h", F.substring(t, 1, SAMPLE_CHARS).alias("text"))
+    rows = own.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
     return Model([r["text"] for r in rows])
 
 
