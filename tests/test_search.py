@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from strandlake.functions import alphabet as A
 from strandlake.functions import matrices as M
 from strandlake.functions import statistics as S
-from strandlake.operators import masking, seeds
+from strandlake.operators import hits, masking, seeds
 from strandlake.operators.alignment import align, align_pairs, alignment_stats
-from strandlake.operators.hits import best_seeds, top_hits, top_proteins
+from strandlake.operators.hits import best_seeds, ranked_rows, top_hits, top_proteins, within_budget
 from strandlake.operators.intervals import merge_stretches
 from strandlake.operators.seeds import contexts, hsp_table, hsps, seed_walk, suffix_index
 from strandlake.options import SearchOptions
@@ -197,6 +197,23 @@ def test_hit_lists(spark):
     assert [(r.protein_idx, r.hit_rank) for r in top_hits(aligned, SearchOptions()).orderBy("hit_rank").collect()] == [(6, 1), (5, 2)]
 
 
+def test_budget_keeps_the_best_seeds(spark):
+    rows = [(q, k, k % 7, 0, 1, (k * 37) % 50, 9) for q, n in ((1, 40), (2, 3)) for k in range(n)]
+    df = spark.createDataFrame(rows, "query_idx long, q_start int, protein_idx long, p_start int, direction int, score int, length int")
+    got = {(r.query_idx, r.q_start) for r in within_budget(df, SearchOptions(seeds=10)).collect()}
+    best = sorted((r for r in rows if r[0] == 1), key=lambda r: (-r[5], r[2], r[3], r[1]))[:10]
+    assert got == {r[:2] for r in best} | {(2, 0), (2, 1), (2, 2)}
+    assert within_budget(df, SearchOptions(seeds=40)).count() == 43
+
+
+def test_salted_ranks_are_the_plain_ranks(spark, monkeypatch):
+    df = spark.range(500).selectExpr("id % 2 AS g", "pmod(hash(id), 40) AS s", "id")
+    order = [F.desc("s"), F.col("id")]
+    plain = {tuple(r) for r in ranked_rows(df, "g", order, 30, "k").collect()}
+    monkeypatch.setattr(hits, "GROUP_LIMIT", 5)
+    assert {tuple(r) for r in ranked_rows(df, "g", order, 30, "k").collect()} == plain and len(plain) == 60
+
+
 def test_merged_stretches(spark):
     df = spark.createDataFrame([("a", 1, 4), ("a", 4, 6), ("a", 2, 3), ("a", 8, 9), ("a", 8, 9), (None, 1, 1), ("a", None, 3)], "g string, b int, e int")
     assert {tuple(r) for r in merge_stretches(df, ["g"], "b", "e").collect()} == {("a", 1, 6, 3), ("a", 8, 9, 2), (None, 1, 1, 1)}
