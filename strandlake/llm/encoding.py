@@ -301,9 +301,12 @@ def fit(docs: DataFrame, text: str) -> Model:
     """A model of the texts of `docs`, fitted on SAMPLE_TEXTS different ones beyond ASCII that a hash picks."""
     t = F.col("text")
     some = docs.select(F.col(text).alias("text")).where(F.octet_length(t) > F.char_length(t)).withColumn("h", F.xxhash64("text"))
-    chosen = some.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS)
-    own = some.join(F.broadcast(chosen), "h", "left_semi").select("h", F.substring(t, 1, SAMPLE_CHARS).alias("text"))
-    rows = own.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
+    n = some.agg(F.approx_count_distinct("h")).first()[0]
+    # The share of all hashes that holds the sample and half as much again, so that no task or the driver
+    # gathers more than that, however many texts there are.
+    share = min(1.0, 1.5 * SAMPLE_TEXTS / max(n, 1))
+    own = some.where(F.col("h") <= int(-(2**63) + share * (2**64 - 4096))).select("h", F.substring(t, 1, SAMPLE_CHARS).alias("text"))
+    rows = own.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(SAMPLE_TEXTS).collect()
     return Model([r["text"] for r in rows])
 
 
