@@ -30,11 +30,21 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_fasta(spark: SparkSession, path: str) -> None:
-    """Fail unless every file begins with `>`; only the first byte of each is looked at."""
-    heads = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1).alias("head"))
-    bad = heads.where(F.col("head").isNull() | (F.col("head") != F.lit(b">"))).limit(1).collect()
-    if bad:
-        raise ValueError(f"not FASTA: {bad[0]['path']}")
+    """Fail unless every file begins with `>`; one byte of each file is read, on the driver."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    for found in fs.globStatus(where) or []:
+        files = fs.listFiles(found.getPath(), True)
+        while files.hasNext():
+            file = files.next()
+            if file.getPath().getName().startswith(("_", ".")):
+                continue
+            stream = fs.open(file.getPath())
+            first = stream.read()
+            stream.close()
+            if first != ord(">"):
+                raise ValueError(f"not FASTA: {file.getPath().toString()}")
 
 
 def fasta_text(seq_id: Column, residues: Column, width: int | None = None) -> Column:
