@@ -16,7 +16,7 @@ from strandlake.session import cut_lineage
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
-WINDOWS = T.StructType([T.StructField("hash", T.LongType()), T.StructField("id", T.LongType()), T.StructField("pos", T.IntegerType())])
+WINDOWS = T.StructType([T.StructField("hash", T.LongType(), False), T.StructField("id", T.LongType(), False), T.StructField("pos", T.IntegerType(), False)])
 SPANS = T.StructType([T.StructField("span", T.StringType()), T.StructField("id", T.LongType()), T.StructField("pos", T.IntegerType())])
 
 
@@ -121,7 +121,8 @@ def shared_windows(df: DataFrame, idx: str, text: str, length: int) -> DataFrame
     probes = rows.mapInArrow(_windows(k, 1), WINDOWS)
     met = probes.join(blocks.hint("shuffle_hash"), "hash", "left_semi")
     two = F.min("id") < F.max("id")
-    anchors = met.groupBy("hash").agg(two.alias("two")).where("two").select("hash")
+    # Taking `pos` along makes both uses of `probes` the same, so that they share one shuffle.
+    anchors = met.groupBy("hash").agg(two.alias("two"), F.max("pos").alias("last")).where("two AND last >= 0").select("hash")
     hits = met.join(anchors.hint("shuffle_hash"), "hash", "left_semi")
     places = hits.groupBy("id").agg(F.collect_list("pos").alias("at"))
     windows = cut_lineage(rows.join(places, "id").select("id", "text", "at").mapInArrow(_candidates(length, k), SPANS))
