@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from strandlake.functions.alphabet import UNKNOWN_INTERNAL
 from strandlake.options import EXTENSION
-from strandlake.session import cut_lineage
+from strandlake.session import cut_lineage, spread
 
 #: Rows of the suffix table in a partition.
 PART_ROWS = 100_000
@@ -27,7 +27,8 @@ def suffix_starts(residues: Column, shortest: int = 1) -> Column:
 def suffixes(df: DataFrame, idx: str, residues: str, longest: int | None = EXTENSION) -> DataFrame:
     """(`idx`, `start`, `suffix`) of every suffix, cut to `longest` residues. Null residues have none."""
     key = F.substring(F.col(residues), F.col("start") + 1, F.lit(longest)) if longest else F.substr(F.col(residues), F.col("start") + 1)
-    return df.select(idx, residues, F.explode(suffix_starts(F.col(residues))).alias("start")).select(idx, "start", key.alias("suffix"))
+    rows = spread(df.select(idx, residues))
+    return rows.select(idx, residues, F.explode(suffix_starts(F.col(residues))).alias("start")).select(idx, "start", key.alias("suffix"))
 
 
 def query_suffixes(df: DataFrame, idx: str, residues: str, min_length: int, longest: int | None = EXTENSION) -> DataFrame:
@@ -35,7 +36,7 @@ def query_suffixes(df: DataFrame, idx: str, residues: str, min_length: int, long
     unknown or masked residue."""
     starts = suffix_starts(F.col(residues), min_length + 1)
     key = F.substring(F.col(residues), F.col("start") + 1, F.lit(longest)) if longest else F.substr(F.col(residues), F.col("start") + 1)
-    rows = df.select(idx, residues, F.explode(starts).alias("start")).where(F.substring(residues, F.col("start") + 1, F.lit(1)) != UNKNOWN_INTERNAL)
+    rows = spread(df.select(idx, residues)).select(idx, residues, F.explode(starts).alias("start")).where(F.substring(residues, F.col("start") + 1, F.lit(1)) != UNKNOWN_INTERNAL)
     return rows.select(idx, "start", key.alias("suffix"))
 
 
@@ -58,18 +59,19 @@ def global_rank(df: DataFrame, order: list[str], rank: str, rows: int | None = N
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = T.StructType([*df.schema.fields, T.StructField("_at", T.LongType())])
     numbered = cut_lineage(placed.mapInArrow(_numbered, schema).withColumn("_part", F.spark_partition_id()))
-    return add_bases(numbered, F.lit(1)).withColumn(rank, F.col("_base") + F.col("_at")).drop("_base", "_at", "_part")
+    return add_bases(numbered, {"_base": F.lit(1)}).withColumn(rank, F.col("_base") + F.col("_at")).drop("_base", "_at", "_part")
 
 
-def add_bases(numbered: DataFrame, what: Column) -> DataFrame:
-    """`_base`: the sum of `what` over all rows of the partitions before a row's own (`_part`)."""
-    sums = sorted((r[0], r[1]) for r in numbered.groupBy("_part").agg(F.sum(what)).collect())
-    bases, total = [], 0
-    for part, n in sums:
-        bases.append((part, total))
-        total += n
-    table = numbered.sparkSession.createDataFrame(bases or [(0, 0)], "_part int, _base long")
-    return numbered.join(F.broadcast(table), "_part")
+def add_bases(numbered: DataFrame, what: dict[str, Column]) -> DataFrame:
+    """For each name the sum of its column over all rows of the partitions before a row's own (`_part`)."""
+    sums = sorted(tuple(r) for r in numbered.groupBy("_part").agg(*(F.sum(c).alias(x) for x, c in what.items())).collect())
+    totals = [0] * len(what)
+    bases = []
+    for part, *own in sums:
+        bases.append((part, *totals))
+        totals = [a + b for a, b in zip(totals, own, strict=True)]
+    schema = ", ".join(["_part int", *(f"`{x}` long" for x in what)])
+    return numbered.join(F.broadcast(numbered.sparkSession.createDataFrame(bases or [(0, *totals)], schema)), "_part")
 
 
 def suffix_ranks(proteins: DataFrame, idx: str = "protein_idx", residues: str = "residues") -> DataFrame:
@@ -100,27 +102,33 @@ def insertion_points(queries: DataFrame, proteins: DataFrame, min_length: int, q
     schema = T.StructType([*both.schema.fields, T.StructField("_before", T.LongType())])
     placed = both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_running, schema)
     done = cut_lineage(placed.select("kind", "idx", "start", "_before").withColumn("_part", F.spark_partition_id()))
-    found = add_bases(done, F.col("kind")).where("kind = 0")
+    found = add_bases(done, {"_base": F.col("kind")}).where("kind = 0")
     return found.select(F.col("idx").alias(q), "start", (F.col("_base") + F.col("_before")).alias("position"))
 
 
-def running_offsets(df: DataFrame, order: str, size: Column, name: str) -> DataFrame:
-    """`df` with the sum of `size` over all rows before it in the order of the unique column `order`."""
-    rows = df.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long"))
+def running_offsets(df: DataFrame, order: str, sizes: dict[str, Column]) -> DataFrame:
+    """`df` with a column for each name of `sizes`: the sum of that size over all rows before it in the order
+    of the unique column `order`. Null sizes count as 0."""
+    names = [f"_size_{x}" for x in sizes]
+    rows = df.withColumns({x: F.coalesce(c, F.lit(0)).cast("long") for x, c in zip(names, sizes.values(), strict=True)})
     parts = max(1, -(-rows.count() // PART_ROWS))
-    schema = T.StructType([*rows.schema.fields, T.StructField("_before", T.LongType())])
-    placed = rows.repartitionByRange(parts, order).sortWithinPartitions(order).mapInArrow(_sums("_size"), schema)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(f"_before{x}", T.LongType()) for x in names)])
+    placed = rows.repartitionByRange(parts, order).sortWithinPartitions(order).mapInArrow(_sums(names), schema)
     done = cut_lineage(placed.withColumn("_part", F.spark_partition_id()))
-    return add_bases(done, F.col("_size")).withColumn(name, F.col("_base") + F.col("_before")).drop("_base", "_before", "_size", "_part")
+    based = add_bases(done, {f"_base{x}": F.col(x) for x in names})
+    both = {name: F.col(f"_base{x}") + F.col(f"_before{x}") for name, x in zip(sizes, names, strict=True)}
+    return based.select(*df.columns, *(c.alias(name) for name, c in both.items()))
 
 
-def _sums(column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sums(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        totals = dict.fromkeys(columns, 0)
         for b in batches:
-            size = b.column(column).to_numpy(zero_copy_only=False)
-            before = total + np.cumsum(size) - size
-            total += int(size.sum())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before.astype(np.int64))], [*b.schema.names, "_before"])
+            new = []
+            for c in columns:
+                size = b.column(c).to_numpy(zero_copy_only=False)
+                new.append(pa.array((totals[c] + np.cumsum(size) - size).astype(np.int64)))
+                totals[c] += int(size.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *(f"_before{c}" for c in columns)])
 
     return run

@@ -14,7 +14,7 @@ from strandlake.operators.placing import place_positions
 from strandlake.operators.suffixes import insertion_points, query_suffixes, running_offsets, suffix_ranks
 from strandlake.options import SearchOptions
 from strandlake.plans.search import database_size
-from strandlake.session import ensure_checkpoint_dir
+from strandlake.session import ensure_checkpoint_dir, spread
 from strandlake.sources.fasta import read_fasta, write_fasta
 
 MIN_LENGTH = SearchOptions().min_length
@@ -56,8 +56,7 @@ def self_score(spark: SparkSession, d: str) -> DataFrame:
 def protein_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Where residues and headers of each record stand in the concatenated database."""
     rows = _table(spark, d, "proteins").select("protein_idx", F.char_length("residues").alias("n"), F.octet_length("seq_id").alias("h"))
-    rows = running_offsets(rows, "protein_idx", F.coalesce("n", F.lit(0)) + 1, "protein_start")
-    rows = running_offsets(rows, "protein_idx", F.coalesce("h", F.lit(0)) + 1, "header_start")
+    rows = running_offsets(rows, "protein_idx", {"protein_start": F.coalesce("n", F.lit(0)) + 1, "header_start": F.coalesce("h", F.lit(0)) + 1})
     return rows.select("protein_idx", "protein_start", "header_start")
 
 
@@ -84,14 +83,14 @@ def position_to_protein(spark: SparkSession, d: str) -> DataFrame:
 def window_entropies(spark: SparkSession, d: str) -> DataFrame:
     """The entropy of every window of twelve residues of the queries."""
     n = F.char_length("residues")
-    rows = _table(spark, d, "queries").where(n >= WINDOW).select("query_idx", "residues", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("start"))
+    rows = spread(_table(spark, d, "queries").select("query_idx", "residues").where(n >= WINDOW)).select("query_idx", "residues", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("start"))
     return rows.select("query_idx", "start", F.round(window_entropy(F.substring("residues", F.col("start") + 1, F.lit(WINDOW)), WINDOW), 6).alias("entropy"))
 
 
 def low_complexity_windows(spark: SparkSession, d: str) -> DataFrame:
     """Of each record the windows that would trigger masking."""
     n = F.char_length("residues")
-    rows = _table(spark, d, "proteins").where(n >= WINDOW).select("protein_idx", "residues", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("start"))
+    rows = spread(_table(spark, d, "proteins").select("protein_idx", "residues").where(n >= WINDOW)).select("protein_idx", "residues", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("start"))
     low = rows.where(window_entropy(F.substring("residues", F.col("start") + 1, F.lit(WINDOW)), WINDOW) <= TRIGGER)
     return low.groupBy("protein_idx").agg(F.count(F.lit(1)).alias("n_low"), F.min("start").alias("first_start"))
 
@@ -112,7 +111,7 @@ def insertion_point(spark: SparkSession, d: str) -> DataFrame:
 
 def _words(df: DataFrame, idx: str) -> DataFrame:
     n = F.char_length("residues")
-    rows = df.where(n >= WORD).select(idx, "residues", F.explode(F.sequence(F.lit(0), n - WORD)).alias("start"))
+    rows = spread(df.select(idx, "residues").where(n >= WORD)).select(idx, "residues", F.explode(F.sequence(F.lit(0), n - WORD)).alias("start"))
     return rows.select(idx, F.substring("residues", F.col("start") + 1, F.lit(WORD)).alias("word"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.alphabet import INTERNAL, to_residues
 from strandlake.functions.matrices import internal_matrix
 from strandlake.functions.statistics import bit_score, effective_length, evalue, least_score
-from strandlake.operators.alignment import align
+from strandlake.operators.alignment import align, align_tasks
 from strandlake.operators.hits import best_seeds, top_hits, top_proteins
 from strandlake.operators.intervals import merge_stretches, operation_length, operation_letter, pack_operation
 from strandlake.operators.masking import segments
@@ -18,6 +18,7 @@ from strandlake.operators.report import fast_columns
 from strandlake.operators.seeds import score_places, seed_walk, suffix_index
 from strandlake.options import EXTENSION, MIN_HSP_TO_ALIGN, SearchOptions
 from strandlake.plans.search import database_size, search_fast as run_fast, search_tabular as run_tabular
+from strandlake.session import cut_lineage, spread
 
 OPTIONS = SearchOptions()
 #: Proteins that the list of best seeds keeps of each query; small enough that many queries have more.
@@ -110,7 +111,10 @@ def packed_operations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _aligned_pairs(spark: SparkSession, d: str) -> DataFrame:
-    hits = _table(spark, d, "hits").where("is_aligned AND gapless_score >= 40").select("query_idx", "db_index", "qend", "send").where("qend >= 0 AND send >= 0").distinct()
+    return _with_residues(_table(spark, d, "hits").where("is_aligned AND gapless_score >= 40").select("query_idx", "db_index", "qend", "send").where("qend >= 0 AND send >= 0").distinct(), spark, d)
+
+
+def _with_residues(hits: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     q = _table(spark, d, "queries").select("query_idx", F.col("residues").alias("q_residues"))
     p = _table(spark, d, "proteins").select(F.col("protein_idx").alias("db_index"), F.col("residues").alias("p_residues"))
     return hits.join(q, "query_idx").join(p, "db_index")
@@ -124,13 +128,14 @@ def seed_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def aligned_scores(spark: SparkSession, d: str) -> DataFrame:
     """The local alignment of every pair of a query and a protein that hits name."""
-    rows = _aligned_pairs(spark, d).select("query_idx", "db_index", "q_residues", "p_residues").distinct()
+    pairs = cut_lineage(_table(spark, d, "hits").where("is_aligned AND gapless_score >= 40 AND qend >= 0 AND send >= 0").select("query_idx", "db_index").distinct())
+    rows = _with_residues(pairs.repartition(align_tasks(pairs)), spark, d)
     return align(rows, "q_residues", "p_residues", OPTIONS).select("query_idx", "db_index", "rawscore", "qend", "send")
 
 
 def masked_stretches(spark: SparkSession, d: str) -> DataFrame:
     """Low-complexity stretches of the records of the database."""
-    rows = _table(spark, d, "proteins").select("protein_idx", to_residues(F.col("residues")).alias("residues"))
+    rows = spread(_table(spark, d, "proteins").select("protein_idx", to_residues(F.col("residues")).alias("residues")))
     return segments(rows, "protein_idx", "residues")
 
 

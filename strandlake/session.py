@@ -22,6 +22,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer partitions than there are cores, in as many; others as they are. For
+    steps that make much of few rows. `df` must not hold a shuffle yet."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_table(df: DataFrame) -> tuple[DataFrame, str]:
     """Write `df` as a table in the shared checkpoint folder; the table, and its path for `discard`."""
     spark = df.sparkSession
