@@ -12,6 +12,8 @@ import pyarrow.csv as pa_csv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.session import spread
+
 #: Records that are parsed together; a block that fails is halved until its bad records stand alone.
 BLOCK_ROWS = 256
 #: Characters from which a block is cut before it has BLOCK_ROWS records.
@@ -205,7 +207,7 @@ def parse_records(df: DataFrame, number: str, fmt: str, text: str) -> DataFrame:
     an empty table has no rows. Other columns are ignored, whatever their names.
     """
     rows = df.select(F.col(number).cast("long").alias("record_no"), F.col(fmt).alias("fmt"), F.col(text).alias("raw"))
-    return rows.mapInArrow(_parse, SCHEMA).withColumnRenamed("record_no", number)
+    return spread(rows).mapInArrow(_parse, SCHEMA).withColumnRenamed("record_no", number)
 
 
 def split_records(df: DataFrame, number: str, fmt: str, text: str) -> tuple[DataFrame, DataFrame]:
