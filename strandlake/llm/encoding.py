@@ -13,6 +13,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.session import spread
+
 #: Texts the classifier is fitted on, at most, and characters of each that it learns from.
 SAMPLE_TEXTS, SAMPLE_CHARS = 4_000, 10_000
 #: Hash buckets of byte bigrams.
@@ -324,7 +326,7 @@ def garbled_texts(docs: DataFrame, idx: str, text: str, model: Model | None = No
     their own. A table without texts beyond ASCII has no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(idx).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = rows.where(F.octet_length("text") > F.char_length("text"))
+    rows = spread(rows.where(F.octet_length("text") > F.char_length("text")))
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))
     found = rows.mapInArrow(_repair(shared), "id long, chain string, n_words int, restored string")
     return found.withColumnRenamed("id", idx)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.words import grams, word_hashes
+from strandlake.session import spread
 
 #: Characters of evaluation text that one pass over the corpus takes; more texts take more passes.
 BLOCK_CHARS = 16_000_000
@@ -152,7 +153,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     hashes. Every window of every item is cut into budget + 1 pieces, one of which must stand unchanged in
     the text; every position of every document is looked up among the pieces, and each hit is verified.
     The pieces of at most BLOCK_CHARS characters of items are sent to the workers at a time; a larger set
-    of items is taken in blocks, each with its own pass over the corpus. Documents are never shuffled.
+    of items is taken in blocks, each with its own pass over the corpus. Documents are not shuffled, unless they
+    come in fewer partitions than there are cores.
 
     Null ids are left out; null and empty texts, and items of fewer than `window` words, hold nothing.
     Repeated rows and several hits of one pair give one row. Without documents or items there are no rows.
@@ -162,6 +164,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
         raise ValueError("0 <= budget < window <= 64 is needed")
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    source = spread(source)
     tests = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
     size = tests.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_CHARS)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.session import cut_lineage
+from strandlake.session import cut_lineage, spread
 
 # Fixed value: the pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -207,7 +207,7 @@ def pack_texts(docs: DataFrame, containers: DataFrame, idx: str, text: str, kind
     if len(rows) > MAX_KINDS:
         raise ValueError(f"more than {MAX_KINDS} kinds of containers")
     kinds = sorted((tuple(r) for r in rows), key=lambda r: (r[0] or "", r[1]))
-    source = docs.select(F.col(idx).cast("long").alias("id"), F.col(text).alias("text"))
+    source = spread(docs.select(F.col(idx).cast("long").alias("id"), F.col(text).alias("text")))
     parts = max(1, source.rdd.getNumPartitions())
     placed = cut_lineage(source.mapInArrow(_pack(kinds, vocabulary, open_bins), PLACED))
     done = placed.where("NOT open").select("kind", "capacity", F.col("bin").alias("to"), "id", "piece_no", "token_start", "n_tokens")

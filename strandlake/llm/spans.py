@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strandlake.session import cut_lineage
+from strandlake.session import cut_lineage, spread
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -116,7 +116,7 @@ def shared_windows(df: DataFrame, idx: str, text: str, length: int) -> DataFrame
     one row per partition, and no pairs are formed. Adjoining windows make up the maximal repeats.
     """
     k = (length + 1) // 2
-    rows = df.select(F.col(idx).cast("long").alias("id"), F.col(text).alias("text")).where(f"id IS NOT NULL AND char_length(text) >= {length}")
+    rows = spread(df.select(F.col(idx).cast("long").alias("id"), F.col(text).alias("text")).where(f"id IS NOT NULL AND char_length(text) >= {length}"))
     blocks = rows.mapInArrow(_windows(k, k), WINDOWS).select("hash").distinct()
     probes = rows.mapInArrow(_windows(k, 1), WINDOWS)
     met = probes.join(blocks.hint("shuffle_hash"), "hash", "left_semi")
