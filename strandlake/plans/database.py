@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.alphabet import INTERNAL, SIMILARITY_ORDER, STANDARD_INTERNAL, UNKNOWN_INTERNAL, clean_residues, guard_internal, header_id, letter_count, matrix_code, to_internal, to_residues, window_entropy
+from strandlake.functions.alphabet import INTERNAL, SIMILARITY_ORDER, STANDARD_INTERNAL, UNKNOWN_INTERNAL, clean_residues, guard_internal, header_id, letter_count, matrix_code, to_internal, to_residues
 from strandlake.functions.matrices import self_scores
-from strandlake.operators.masking import TRIGGER, WINDOW
+from strandlake.operators.masking import TRIGGER, WINDOW, entropy_windows
 from strandlake.operators.placing import place_positions
 from strandlake.operators.suffixes import insertion_points, query_suffixes, running_offsets, suffix_ranks
 from strandlake.options import SearchOptions
@@ -82,16 +82,13 @@ def position_to_protein(spark: SparkSession, d: str) -> DataFrame:
 
 def window_entropies(spark: SparkSession, d: str) -> DataFrame:
     """The entropy of every window of twelve residues of the queries."""
-    n = F.char_length("residues")
-    rows = spread(_table(spark, d, "queries").select("query_idx", "residues").where(n >= WINDOW)).select("query_idx", "residues", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("start"))
-    return rows.select("query_idx", "start", F.round(window_entropy(F.substring("residues", F.col("start") + 1, F.lit(WINDOW)), WINDOW), 6).alias("entropy"))
+    rows = entropy_windows(_table(spark, d, "queries"), "query_idx", "residues")
+    return rows.select("query_idx", "start", F.round("entropy", 6).alias("entropy"))
 
 
 def low_complexity_windows(spark: SparkSession, d: str) -> DataFrame:
     """Of each record the windows that would trigger masking."""
-    n = F.char_length("residues")
-    rows = spread(_table(spark, d, "proteins").select("protein_idx", "residues").where(n >= WINDOW)).select("protein_idx", "residues", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("start"))
-    low = rows.where(window_entropy(F.substring("residues", F.col("start") + 1, F.lit(WINDOW)), WINDOW) <= TRIGGER)
+    low = entropy_windows(_table(spark, d, "proteins"), "protein_idx", "residues").where(F.col("entropy") <= TRIGGER)
     return low.groupBy("protein_idx").agg(F.count(F.lit(1)).alias("n_low"), F.min("start").alias("first_start"))
 
 

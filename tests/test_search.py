@@ -219,6 +219,14 @@ def test_merged_stretches(spark):
     assert {tuple(r) for r in merge_stretches(df, ["g"], "b", "e").collect()} == {("a", 1, 6, 3), ("a", 8, 9, 2), (None, 1, 1, 1)}
 
 
+def test_entropy_of_windows(spark):
+    df = spark.createDataFrame([(1, "ABCDABCDABCDV"), (2, "AAAAAAAAAAAA"), (3, "VVVVVVVVVVVV"), (4, "ABC"), (5, None)], "k long, r string")
+    rows = masking.entropy_windows(df, "k", "r").join(df, "k").withColumn("plain", A.window_entropy(F.substring("r", F.col("start") + 1, F.lit(12)), 12))
+    got = [(r.k, r.start, round(r.entropy, 6), round(r.plain, 6)) for r in rows.orderBy("k", "start").collect()]
+    assert [g[:2] for g in got] == [(1, 0), (1, 1), (2, 0), (3, 0)] and all(a == b for *_, a, b in got)
+    assert got[0][2] == 2.0 and got[2][2] == got[3][2] == 0.0
+
+
 def test_masking():
     text = "MKLDEFWYHIKLMNPQRSTV" + "Q" * 20 + "WLMNHGFDSAREKCYTVILP"
     assert masking.mask(text) == text[:20] + "X" * 20 + text[40:]
