@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +33,9 @@ def canonical(df: DataFrame, idx: str, name: str, text: str, buckets: int) -> Da
 def _read(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(LEDGER).parquet(path)
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LEDGER)
 
 
