@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.session import spread
+from strandlake.session import cut_lineage, spread
 
 #: Texts the classifier is fitted on, at most, and characters of each that it learns from.
 SAMPLE_TEXTS, SAMPLE_CHARS = 4_000, 10_000
@@ -28,6 +28,11 @@ MARGIN_UTF8, MARGIN_BYTE = 2.0, 8.0
 TRIED = 6
 #: Texts of a batch that are handled at once, in characters.
 BLOCK = 2_000_000
+#: Where a restored word has up to SHORT letters, which many chains can give by chance, texts that hold it for
+#: each that holds the word as it stands.
+SHORT, SHORT_TIMES = 2, 20
+#: Different words a task counts before it passes the counts on.
+COUNTED = 200_000
 
 LOST = "\ufffd"
 WORD = re.compile(r"[^\x00-\x20]+")
@@ -180,6 +185,51 @@ def core(word: str) -> str:
     return word[low:high].lower()
 
 
+def counted(word: str) -> str:
+    """What a word is counted as: its core, or the whole of it where that is empty."""
+    return core(word) or word
+
+
+def evidence(word: str, restored: str | None) -> str | None:
+    """The key whose count tells whether `word` was `restored`. None where there is no letter to go by: a symbol
+    that gives another symbol, or a single letter, is more often rare than garbled."""
+    key = core(restored or "")
+    return None if not key or (len(key) == 1 and not any(map(str.isalpha, word))) else key
+
+
+#: The chains that can have made a word, likeliest first, each with the word it undoes to.
+Made = list[tuple[int, str | None]]
+#: A word's class, 0 for sound, the word restored where that can be, and whether it is sure.
+Finding = tuple[int, str | None, bool]
+
+
+def choose(made: Made, known: Callable[[str], bool]) -> Finding:
+    """The likeliest chain that gives a known word; else the likeliest strict one; else a guess."""
+    guess = 0, None, False
+    for c, r in made:
+        if r is None or known(r):
+            return c, r, True
+        if not guess[0] or (IS_UTF8[c] and not guess[2]):
+            guess = c, r, bool(IS_UTF8[c])
+    return guess
+
+
+def decide(words: dict[str, list[tuple[int, str | None, bool]]]) -> dict[str, Finding]:
+    """The finding on each word of a text from (chain, word restored, whether that is known). Of chains that give
+    known words, the strict one, then the one that gives most of them in the text is taken."""
+    support = Counter(c for made in words.values() for c, _, known in made if known)
+    found = {}
+    for w, made in words.items():
+        if some := [(c, r) for c, r, known in made if known]:
+            found[w] = *max(some, key=lambda x: (IS_UTF8[x[0]], support[x[0]])), True
+            continue
+        c, r, sure = choose([(c, r) for c, r, _ in made], lambda _: False)
+        if not sure:
+            c, r = max(((c, r) for c, r, _ in made), key=lambda x: support[x[0]])
+        found[w] = c, r, sure
+    return found
+
+
 class Model:
     """A multinomial classifier over hashed byte bigrams of words, and the sound words it was fitted on."""
 
@@ -216,85 +266,150 @@ class Model:
                 tally[:, c] += np.bincount(out.code, each, BUCKETS)
         return np.log(tally / tally.sum(0)).astype(np.float32)
 
-    def judge(self, words: list[str]) -> list[tuple[int, str | None, bool]]:
-        """For each word its class, 0 for sound, the word restored where that can be, and whether it is sure."""
-        found: list[tuple[int, str | None, bool]] = [(0, None, False)] * len(words)
+    def judge(self, words: list[str]) -> list[Finding]:
+        """The finding on each word, by the words known from the sample."""
+        found: list[Finding] = [(0, None, False)] * len(words)
         own = Words(_flat(words))
-        for k, *x in self.suspects(own):
+        for k, _, made in self.suspects(own):
             if not found[own.text_of[k]][2]:
-                found[own.text_of[k]] = tuple(x)
+                found[own.text_of[k]] = choose(made, self.knows)
         return found
 
-    def suspects(self, own: Words) -> Iterator[tuple[int, int, str | None, bool]]:
-        """(word, class, restored word, sure) of those whose likeliest chain can be undone strictly."""
+    def knows(self, word: str) -> bool:
+        return core(word) in self.known
+
+    def suspects(self, own: Words) -> Iterator[tuple[int, str, Made]]:
+        """(number, word, chains) of the words that some likely chain can have made."""
         if not len(own):
             return
         margin = own.scores(self.table)
         margin -= margin[:, :1].copy()
-        seen: dict[str, tuple[int, str | None, bool]] = {}
+        seen: dict[str, Made] = {}
         for k in np.flatnonzero(margin[:, 1:].max(1) > MARGIN_UTF8):
             w = own.word(k)
             if w not in seen:
                 seen[w] = self._undo(w, margin[k])
-            if seen[w][0]:
-                yield int(k), *seen[w]
+            if seen[w]:
+                yield int(k), w, seen[w]
 
-    def _undo(self, word: str, margin: np.ndarray) -> tuple[int, str | None, bool]:
+    def _undo(self, word: str, margin: np.ndarray) -> Made:
         lost = len(NAMES) - 1
         if LOST in word:
-            return lost, None, True
-        guess = 0, None, False
+            return [(lost, None)]
+        made: Made = []
         for c in np.argsort(-margin)[:TRIED]:
             if c == 0 or c == lost or margin[c] < (MARGIN_UTF8 if IS_UTF8[c] else MARGIN_BYTE):
                 continue
             r = restore(word, CHAINS[c - 1])
-            if r is None or r == word:
-                continue
-            known = core(r) in self.known
-            if known:
-                return int(c), r, True
-            if not guess[0] or (IS_UTF8[c] and not guess[2]):
-                guess = int(c), r, bool(IS_UTF8[c])
-        return guess
+            if r is not None and r != word:
+                made.append((int(c), r))
+        return made
 
     def repair(self, texts: list[str]) -> Iterator[tuple[int, str, int, str | None]]:
-        """(number of the text, chain, garbled words, text restored as far as it can be) of garbled texts."""
+        """(number of the text, chain, garbled words, text restored as far as it can be) of garbled texts, by
+        the words known from the sample."""
         own = Words(_flat(texts))
-        found: dict[int, dict[str, tuple[int, str | None, bool]]] = {}
-        for k, c, r, sure in self.suspects(own):
-            found.setdefault(int(own.text_of[k]), {})[own.word(k)] = c, r, sure
+        found: dict[int, dict[str, list[tuple[int, str | None, bool]]]] = {}
+        for k, w, made in self.suspects(own):
+            found.setdefault(int(own.text_of[k]), {})[w] = [(c, r, r is not None and self.knows(r)) for c, r in made]
         for t, words in found.items():
-            chains = Counter(c for c, _, sure in words.values() if sure)
-            if not chains:
-                continue
-            back = {w: r for w, (c, r, _) in words.items() if c in chains and r is not None}
-            # A text was mostly garbled by one chain: the one that gives most known words goes first.
-            whole = [c for c in chains if IS_UTF8[c]]
-            all_words = {own.word(k) for k in range(*np.searchsorted(own.text_of, [t, t + 1]))} if whole else set()
-            made = {c: {w: r for w in all_words if (r := restore(w, CHAINS[c - 1])) not in (None, w)} for c in whole}
-            for c in sorted(whole, key=lambda c: (sum(core(r) in self.known for r in made[c].values()), chains[c], -c)):
-                back |= made[c]
-            text = WORD.sub(lambda m, back=back: back.get(m.group(), m.group()), texts[t]) if back else None
-            most = min(chains, key=lambda c: (-chains[c], c))
-            yield t, NAMES[most], sum(c in chains for c, _, _ in words.values()), text
-
-
-def _repair(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+            if done := self.settle(texts[t], decide(words)):
+                yield t, *done
+
+    def settle(self, text: str, words: dict[str, Finding]) -> tuple[str, int, str | None] | None:
+        """(chain, garbled words, text restored) of a text from the findings on its words; None if it is sound."""
+        chains = Counter(c for c, _, sure in words.values() if sure)
+        if not chains:
+            return None
+        back = {w: r for w, (c, r, _) in words.items() if c in chains and r is not None}
+        # A text was mostly garbled by one chain: the one that gives most known words goes first.
+        whole = [c for c in chains if IS_UTF8[c]]
+        all_words = {w for w in WORD.findall(text) if not w.isascii()} if whole else set()
+        made = {c: {w: r for w in all_words if (r := restore(w, CHAINS[c - 1])) not in (None, w)} for c in whole}
+        for c in sorted(whole, key=lambda c: (sum(map(self.knows, made[c].values())), chains[c], -c)):
+            back |= made[c]
+        restored = WORD.sub(lambda m: back.get(m.group(), m.group()), text) if back else None
+        most = min(chains, key=lambda c: (-chains[c], c))
+        return NAMES[most], sum(c in chains for c, _, _ in words.values()), restored
+
+
+class Tally(dict):
+    """What the words seen lately are counted as."""
+
+    def __missing__(self, word: bytes) -> str:
+        if len(self) >= COUNTED:
+            self.clear()
+        self[word] = key = counted(word.decode("utf-8", "surrogatepass"))
+        return key
+
+
+READ = pa.schema(
+    [
+        ("id", pa.int64()),
+        ("text", pa.string()),
+        ("made", pa.list_(pa.struct([("word", pa.string()), ("own", pa.string()), ("c", pa.int32()), ("restored", pa.string()), ("key", pa.string())]))),
+        ("key", pa.string()),
+        ("n", pa.int64()),
+    ]
+)
+READ_SQL = "id long, text string, made array<struct<word: string, own: string, c: int, restored: string, key: string>>, key string, n long"
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    low = 0
+    while low < len(texts):
+        high, size = low, 0
+        while high < len(texts) and (high == low or size + len(texts[high]) <= BLOCK):
+            size += len(texts[high])
+            high += 1
+        yield low, high
+        low = high
+
+
+def _read(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of two kinds: a text with what may have made its words; a word's key and texts that hold it."""
+
+    def batch(columns: dict[str, list], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in READ], schema=READ)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, keys, counts = shared.value, Tally(), Counter()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            low = 0
-            while low < len(texts):
-                high, size = low, 0
-                while high < len(texts) and (high == low or size + len(texts[high]) <= BLOCK):
-                    size += len(texts[high])
-                    high += 1
-                rows = [(ids[low + t], chain, n, text) for t, chain, n, text in model.repair(texts[low:high])]
-                if rows:
-                    a, chain, n, text = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(chain), pa.array(n, pa.int32()), pa.array(text, pa.string())], ["id", "chain", "n_words", "restored"])
-                low = high
+            for low, high in _parts(texts):
+                own = Words(_flat(texts[low:high]))
+                blob, places = own.blob, zip(own.text_of.tolist(), own.low.tolist(), own.high.tolist(), strict=True)
+                counts.update(key for _, key in {(t, keys[blob[i:j]]) for t, i, j in places})
+                made: dict[int, dict[str, list]] = {}
+                for k, w, chains in model.suspects(own):
+                    words = made.setdefault(low + int(own.text_of[k]), {})
+                    if w not in words:
+                        words[w] = [{"word": w, "own": counted(w), "c": c, "restored": r, "key": evidence(w, r)} for c, r in chains]
+                if made:
+                    yield batch({"id": [ids[t] for t in made], "text": [texts[t] for t in made], "made": [sum(x.values(), []) for x in made.values()]}, len(made))
+                if len(counts) >= COUNTED:
+                    yield batch({"key": list(counts), "n": list(counts.values())}, len(counts))
+                    counts.clear()
+        if counts:
+            yield batch({"key": list(counts), "n": list(counts.values())}, len(counts))
+
+    return run
+
+
+def _settle(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            rows = []
+            for i, text, marked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                made: dict[str, list[tuple[int, str | None, bool]]] = {}
+                for x in sorted(marked, key=lambda x: x["at"]):
+                    made.setdefault(x["word"], []).append((x["c"], x["restored"], x["known"]))
+                if done := model.settle(text, decide(made)):
+                    rows.append((i, *done))
+            if rows:
+                i, chain, n, text = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(chain), pa.array(n, pa.int32()), pa.array(text, pa.string())], ["id", "chain", "n_words", "restored"])
 
     return run
 
@@ -318,7 +433,8 @@ def garbled_texts(docs: DataFrame, idx: str, text: str, model: Model | None = No
     A multinomial classifier over hashed byte bigrams is fitted on words beyond ASCII of a bounded sample of
     the texts and on what each chain of CHAINS makes of them. It names the likeliest chains of each word of
     every whole text; a chain is taken if it can be undone strictly, and, where its inverse is a single-byte
-    encoding, gives a word the sample knows. Words with replacement characters are garbled beyond repair.
+    encoding, gives a word that at least two of all texts hold, and more than hold the word as it stands.
+    Words with replacement characters are garbled beyond repair.
     `chain` is the commonest of the text, `n_words` its number of different garbled words, `restored` the
     whole text with every word put right that can be; null if there is none.
 
@@ -328,5 +444,21 @@ def garbled_texts(docs: DataFrame, idx: str, text: str, model: Model | None = No
     rows = docs.select(F.col(idx).cast("long").alias("id"), F.col(text).alias("text"))
     rows = spread(rows.where(F.octet_length("text") > F.char_length("text")))
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))
-    found = rows.mapInArrow(_repair(shared), "id long, chain string, n_words int, restored string")
-    return found.withColumnRenamed("id", idx)
+    read = cut_lineage(rows.mapInArrow(_read(shared), READ_SQL).withColumn("row", F.monotonically_increasing_id()))
+    suspects = read.where("key IS NULL").select("row", "id", "text", "made")
+    each = suspects.select("row", F.posexplode("made").alias("at", "x")).select("row", "at", "x.*")
+    found = each.join(_known(each, read), ["own", "key"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    strict = [c for c in range(1, len(NAMES)) if IS_UTF8[c] or c == len(NAMES) - 1]
+    marked = found.groupBy("row").agg(F.collect_list(F.struct("at", "word", "c", "restored", "known")).alias("marked"), F.max(F.col("known") | F.col("c").isin(strict)).alias("sure")).where("sure")
+    done = suspects.join(marked, "row").select("id", "text", "marked").mapInArrow(_settle(shared), "id long, chain string, n_words int, restored string")
+    return done.withColumnRenamed("id", idx)
+
+
+def _known(each: DataFrame, read: DataFrame) -> DataFrame:
+    """(`own`, `key`, `known`): the pairs of a word and what it is restored to of which the texts hold the latter
+    at least twice, and more often than the word itself; SHORT_TIMES as often where it is short."""
+    counts = read.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = each.where("key IS NOT NULL").select("own", "key").distinct()
+    sides = pairs.join(counts, "key").join(counts.select(F.col("key").alias("own"), F.col("n").alias("n_own")), "own")
+    times = F.when(F.char_length("key") <= SHORT, SHORT_TIMES).otherwise(1)
+    return sides.where((F.col("n") >= 2) & (F.col("n") > times * F.col("n_own"))).select("own", "key", F.lit(True).alias("known"))

@@ -421,6 +421,25 @@ def test_garbled_texts(spark):
     assert encoding.garbled_texts(df.limit(0), "doc_id", "text").collect() == []
 
 
+def test_words_outside_the_sample_decide_single_byte_chains(spark, model):
+    """A name and a two-letter word that the sample does not hold or count, each garbled in one text."""
+    chain = (("cp1252", "mac_roman"),)
+    name, short = "Krümmelbäcker", "où"
+    assert not {encoding.core(name), encoding.core(short)} & model.known
+    texts = [f"Es spricht {name} für Häuser", f"Danach {name} selbst", *[f"Wieder {short} Nummer {k}" for k in range(30)], "½ « ± § µ", "‡ und º"]
+    texts += [f"Es spricht {encoding.garble(name, chain)} hier", f"Wieder {encoding.garble(short, chain)} hier"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert list(model.repair(texts)) == []
+    got = {r.doc_id: r.restored for r in encoding.garbled_texts(df, "doc_id", "text", model).collect()}
+    assert got == {34: f"Es spricht {name} hier", 35: f"Wieder {short} hier"}
+
+
+def test_a_text_takes_the_chain_that_most_of_its_words_name():
+    mac, koi = encoding.CHAINS.index((("cp1252", "mac_roman"),)) + 1, encoding.CHAINS.index((("cp1251", "mac_roman"),)) + 1
+    words = {"‡": [(koi, "а", True), (mac, "à", True)], "rÈgion": [(mac, "région", True)], "pÈage": [(koi, "pйage", False), (mac, "péage", False)]}
+    assert {w: r for w, (_, r, _) in encoding.decide(words).items()} == {"‡": "à", "rÈgion": "région", "pÈage": "péage"}
+
+
 def test_scores_do_not_depend_on_the_batch(model):
     own = encoding.Words([t for t in sample(7, 50)])
     one = np.concatenate([encoding.Words([t]).scores(model.table) for t in sample(7, 50) if not t.isascii()])
