@@ -25,6 +25,7 @@ SCHEMA = "record_no long, seq_id string, description string, seq_len long, resid
 
 # What sound records look like to the block parser.
 QUOTED_RIGHT = r'\A(?:[^",]*|"(?:[^"]|"")*")(?:,(?:[^",]*|"(?:[^"]|"")*"))*\z'
+ENDS_IN_BREAK = r"[\r\n]\z"
 SOUND_FASTA = r"\A>(?P<id>[^ \t\r\n]+)(?P<description>[^\n]*)\n(?P<residues>[A-Za-z*\-\r\n]*)\z"
 SOUND_ID = r"\A[^\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+\z"
 SOUND_RESIDUES = r"\A[A-Za-z*\-]*\z"
@@ -46,6 +47,9 @@ def _all(mask: pa.Array | pa.ChunkedArray) -> bool:
 
 def parse_csv_block(texts: pa.Array) -> Columns:
     """All records of a block at once; Failed unless each of them is certainly sound."""
+    # The reader takes line ends after a record for its end, the rules take them for residues.
+    if pc.any(pc.match_substring_regex(texts, ENDS_IN_BREAK), min_count=0).as_py():
+        raise Failed
     quoted = pc.match_substring(texts, '"')
     if pc.any(quoted, min_count=0).as_py() and not _all(pc.match_substring_regex(texts.filter(quoted), QUOTED_RIGHT)):
         raise Failed

@@ -24,6 +24,10 @@ CASES = [
     ("csv", "a,x,2,A1", "bad_residue"),
     ("csv", "a,x,2,A ", "bad_residue"),
     ("csv", "a,x,2,A\n", "bad_residue"),
+    ("csv", "a,x,1,A\n", "bad_residue"),
+    ("csv", "a,x,1,A\r", "bad_residue"),
+    ("csv", "a,x,1,A\r\n", "bad_residue"),
+    ("csv", 'a,"b",1,X\n', "bad_residue"),
     ("csv", "a,x,,A", "bad_length"),
     ("csv", "a,x,+1,A", "bad_length"),
     ("csv", "a,x,١,A", "bad_length"),
@@ -77,6 +81,16 @@ def test_very_long_records(spark):
     assert sorted((r.n, r.seq_len, r.reason) for r in R.parse_records(df, "n", "fmt", "raw").collect()) == [(1, 3_000_000, None), (2, 3_000_000, None), (3, None, "bad_quoting")]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r", "\r\n", "\n\n", "\r\r"])
+@pytest.mark.parametrize("record", ["a,x,1,A", 'a,"b",1,X', "a,,0,", 'a,x,1,"A"'])
+def test_line_ends_after_a_record_are_no_part_of_it(record, end):
+    for before, after in ((0, 0), (0, 3), (3, 0), (2, 2)):
+        given = ["b,y,2,CD"] * before + [record + end] + ["b,y,2,CD"] * after
+        rows = [r for block in R._rows("csv", pa.array(range(len(given))), pa.array(given)) for r in zip(*(c.to_pylist() for c in block), strict=True)]
+        assert [r[1:] for r in sorted(rows)] == [R.diagnose("csv", t) for t in given]
+        assert rows[before][5] is not None
+
+
 def test_blocks_never_take_what_the_rules_reject():
     random.seed(3)
     parts = ['"', ",", "a", "B", "\n", "\r", " ", "3", "", "﻿", "*", "-", "é", '""', "1"]
