@@ -46,11 +46,20 @@ def hit_best_seed(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def hit_list(spark: SparkSession, d: str) -> DataFrame:
-    """The best proteins of each query by gapless score."""
+def _hit_list(spark: SparkSession, d: str, options: SearchOptions) -> DataFrame:
     best = hit_best_seed(spark, d).where("gapless_score IS NOT NULL").withColumnRenamed("db_index", "protein_idx")
     lengths = _table(spark, d, "queries").select("query_idx", F.char_length("residues").alias("m"))
-    return top_proteins(best, lengths, LISTED).select("query_idx", "protein_idx", "gapless_score", "m")
+    return top_proteins(best, lengths, options).select("query_idx", "protein_idx", "gapless_score", "m")
+
+
+def hit_list(spark: SparkSession, d: str) -> DataFrame:
+    """The best proteins of each query by gapless score."""
+    return _hit_list(spark, d, LISTED)
+
+
+def hit_list_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The best proteins of each query by gapless score, as many as a search keeps by default."""
+    return _hit_list(spark, d, OPTIONS)
 
 
 def hit_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +168,7 @@ def search_tabular(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hit_totals, hit_best_seed, hit_list, hit_statistics, reported_hits, report_lines, missing_proteins, covered_stretches, packed_operations, seed_scores, aligned_scores, masked_stretches, found_seeds, search_fast, search_tabular)
+    for f in (hit_totals, hit_best_seed, hit_list, hit_list_whole, hit_statistics, reported_hits, report_lines, missing_proteins, covered_stretches, packed_operations, seed_scores, aligned_scores, masked_stretches, found_seeds, search_fast, search_tabular)
 }
 
 _LN_K, _H, _L = math.log(OPTIONS.kappa), OPTIONS.entropy, OPTIONS.lambda_
@@ -193,6 +202,12 @@ WITH {_SEEDS}, r AS (
 )
 SELECT query_idx, protein_idx, gapless_score, length(residues)::INTEGER AS m FROM r JOIN queries USING (query_idx)
 WHERE k <= CASE WHEN length(residues) > 3000 THEN 150 ELSE 5 END""",
+    "hit_list_whole": f"""
+WITH {_SEEDS}, r AS (
+  SELECT query_idx, db_index AS protein_idx, gapless_score, row_number() OVER (PARTITION BY query_idx ORDER BY gapless_score DESC, db_index) AS k FROM best WHERE gapless_score IS NOT NULL
+)
+SELECT query_idx, protein_idx, gapless_score, length(residues)::INTEGER AS m FROM r JOIN queries USING (query_idx)
+WHERE k <= CASE WHEN length(residues) > 3000 THEN 150 ELSE 5000 END""",
     "hit_statistics": f"""
 WITH size AS (SELECT sum(coalesce(length(residues), 0))::DOUBLE AS n, count(*)::DOUBLE AS p FROM proteins),
 q AS (SELECT query_idx, length(residues)::DOUBLE AS m FROM queries WHERE length(residues) > 0),
