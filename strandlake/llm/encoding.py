@@ -24,8 +24,6 @@ ALPHA = 0.05
 #: Log-likelihood by which a garbled class must beat sound text on a word: where the inverse is strict
 #: UTF-8, and where it is a single-byte encoding, which decodes almost anything.
 MARGIN_UTF8, MARGIN_BYTE = 2.0, 8.0
-#: Likeliest chains that are tried on a word.
-TRIED = 6
 #: Texts of a batch that are handled at once, in characters.
 BLOCK = 2_000_000
 #: Where a restored word has up to SHORT letters, which many chains can give by chance, texts that hold it for
@@ -297,7 +295,7 @@ class Model:
         if LOST in word:
             return [(lost, None)]
         made: Made = []
-        for c in np.argsort(-margin)[:TRIED]:
+        for c in np.argsort(-margin):
             if c == 0 or c == lost or margin[c] < (MARGIN_UTF8 if IS_UTF8[c] else MARGIN_BYTE):
                 continue
             r = restore(word, CHAINS[c - 1])

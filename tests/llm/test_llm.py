@@ -434,6 +434,15 @@ def test_words_outside_the_sample_decide_single_byte_chains(spark, model):
     assert got == {34: f"Es spricht {name} hier", 35: f"Wieder {short} hier"}
 
 
+def test_every_likely_chain_is_tried_on_a_word(model):
+    """The chain that made the word is the least likely of ten that pass their thresholds."""
+    chain = (("cp1252", "mac_roman"),)
+    own, word = encoding.CHAINS.index(chain) + 1, encoding.garble("négligé", chain)
+    margin = np.full(len(encoding.NAMES), -1.0)
+    margin[1:10], margin[own], margin[-1] = 50, 40, 60
+    assert (own, "négligé") in model._undo(word, margin)
+
+
 def test_a_text_takes_the_chain_that_most_of_its_words_name():
     mac, koi = encoding.CHAINS.index((("cp1252", "mac_roman"),)) + 1, encoding.CHAINS.index((("cp1251", "mac_roman"),)) + 1
     words = {"‡": [(koi, "а", True), (mac, "à", True)], "rÈgion": [(mac, "région", True)], "pÈage": [(koi, "pйage", False), (mac, "péage", False)]}
