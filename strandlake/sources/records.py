@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pa_csv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.session import spread
+from strandlake.session import cut_lineage, spread
 
-#: Records that are parsed together; a block that fails is halved until its bad records stand alone.
-BLOCK_ROWS = 256
-#: Characters from which a block is cut before it has BLOCK_ROWS records.
+#: Records that are read together at first, and the bounds between which blocks grow and shrink with the failures seen.
+BLOCK_ROWS, LEAST_ROWS, MOST_ROWS = 256, 16, 8_192
+#: Characters from which a block is cut before it has that many records.
 BLOCK_CHARS = 8_000_000
 
 FIELDS = ["seq_id", "description", "seq_len", "residues"]
@@ -34,6 +34,11 @@ _DIGITS = re.compile(r"[0-9]+", re.ASCII)
 _RESIDUES = re.compile(r"[A-Za-z*-]*")
 _BREAK = re.compile(r"[ \t\r\n]")
 
+_PARSE = pa_csv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False)
+_CONVERT = pa_csv.ConvertOptions(column_types=dict.fromkeys(FIELDS, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False)
+
+TYPES = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+
 Columns = tuple[pa.Array, pa.Array, pa.Array, pa.Array]
 
 
@@ -41,48 +46,90 @@ class Failed(Exception):
     """Some record of a block is not sound; which one is not known yet."""
 
 
-def _all(mask: pa.Array | pa.ChunkedArray) -> bool:
-    return bool(pc.all(mask, min_count=0).as_py())
+def _mask(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(values, False).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def parse_csv_block(texts: pa.Array) -> Columns:
-    """All records of a block at once; Failed unless each of them is certainly sound."""
-    # The reader takes line ends after a record for its end, the rules take them for residues.
-    if pc.any(pc.match_substring_regex(texts, ENDS_IN_BREAK), min_count=0).as_py():
-        raise Failed
-    quoted = pc.match_substring(texts, '"')
-    if pc.any(quoted, min_count=0).as_py() and not _all(pc.match_substring_regex(texts.filter(quoted), QUOTED_RIGHT)):
-        raise Failed
+def readable(texts: pa.Array) -> np.ndarray:
+    """The numbers of the csv records that a reader may see. It is kept from nulls, quotes that stand wrong,
+    records without quotes that have not three commas, and line ends after a record, which it takes for the
+    record's end and the rules for residues."""
+    ok = _mask(texts.is_valid()) & ~_mask(pc.match_substring_regex(texts, ENDS_IN_BREAK))
+    quoted = _mask(pc.match_substring(texts, '"'))
+    ok &= quoted | _mask(pc.equal(pc.count_substring(texts, ","), len(FIELDS) - 1))
+    some = np.flatnonzero(ok & quoted)
+    ok[some] = _mask(pc.match_substring_regex(texts.take(pa.array(some)), QUOTED_RIGHT))
+    return np.flatnonzero(ok)
+
+
+def read_csv_block(texts: pa.Array) -> pa.Table:
+    """The fields of all records of a block; Failed unless the reader finds one row of four in each."""
     # The names come first, so that a byte order mark of the first record stays part of it.
     data = "\n".join([",".join(FIELDS), *texts.to_pylist()]).encode()
     try:
         table = pa_csv.read_csv(
-            io.BytesIO(data),
+            pa.py_buffer(data),
             read_options=pa_csv.ReadOptions(use_threads=False, block_size=len(data) + 1),
-            parse_options=pa_csv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
-            convert_options=pa_csv.ConvertOptions(column_types=dict.fromkeys(FIELDS, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False),
-        ).combine_chunks()
+            parse_options=_PARSE,
+            convert_options=_CONVERT,
+        )
     except pa.ArrowInvalid:
         raise Failed from None
     if table.num_rows != len(texts):
         raise Failed
+    return table
+
+
+def _bisected(texts: pa.Array) -> Iterator[tuple[int, int, pa.Table]]:
+    """(first, last + 1, fields) of the blocks that could be read. A block at which the reader stumbles is
+    halved, again and again, until its bad records stand alone; they are left out. The block after it starts
+    half as long, the one after a block that was read at once twice as long."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum()
+    at, rows = 0, BLOCK_ROWS
+    while at < len(texts):
+        fits = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_CHARS, "right"))
+        end = max(at + 1, min(at + rows, fits, len(texts)))
+        todo = [(at, end)]
+        rows = min(rows * 2, MOST_ROWS)
+        while todo:
+            low, high = todo.pop()
+            try:
+                yield low, high, read_csv_block(texts.slice(low, high - low))
+            except Failed:
+                if high - low > 1:
+                    middle = (low + high) // 2
+                    todo += [(middle, high), (low, middle)]
+                    rows = max(LEAST_ROWS, (end - at) // 2)
+        at = end
+
+
+def parse_csv(texts: pa.Array) -> tuple[np.ndarray, Columns]:
+    """The numbers of the records that are certainly sound, and their fields."""
+    seen = readable(texts)
+    took, tables = [], []
+    for low, high, table in _bisected(texts.take(pa.array(seen))):
+        took.append(seen[low:high])
+        tables.append(table)
+    if not tables:
+        return np.zeros(0, np.int64), (pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.string()))
+    at, table = np.concatenate(took), pa.concat_tables(tables)
     seq_id, description, seq_len, residues = (table.column(c).combine_chunks() for c in FIELDS)
-    if not (_all(pc.match_substring_regex(seq_id, SOUND_ID)) and _all(pc.match_substring_regex(residues, SOUND_RESIDUES)) and _all(pc.match_substring_regex(seq_len, r"\A[0-9]{1,9}\z"))):
-        raise Failed
-    numbers = pc.cast(seq_len, pa.int64())
-    if not _all(pc.equal(numbers, pc.cast(pc.utf8_length(residues), pa.int64()))):
-        raise Failed
-    return seq_id, description, numbers, residues
+    ok = _mask(pc.match_substring_regex(seq_len, r"\A[0-9]{1,9}\z"))
+    numbers = pc.cast(pc.if_else(pa.array(ok), seq_len, "0"), pa.int64())
+    ok &= _mask(pc.equal(numbers, pc.cast(pc.utf8_length(residues), pa.int64())))
+    ok &= _mask(pc.match_substring_regex(seq_id, SOUND_ID)) & _mask(pc.match_substring_regex(residues, SOUND_RESIDUES))
+    return at[ok], tuple(c.filter(pa.array(ok)) for c in (seq_id, description, numbers, residues))
 
 
-def parse_fasta_block(texts: pa.Array) -> Columns:
-    """All records of a block at once; Failed unless each of them is certainly sound."""
+def parse_fasta(texts: pa.Array) -> tuple[np.ndarray, Columns]:
+    """The numbers of the records that are certainly sound, and their fields. The pass over the column tells
+    by itself which records it does not take, so no block fails."""
     parts = pc.extract_regex(texts, SOUND_FASTA)
-    if parts.null_count:
-        raise Failed
-    description = pc.utf8_trim(parts.field("description"), " \t\r")
-    residues = pc.replace_substring_regex(parts.field("residues"), r"[\r\n]+", "")
-    return parts.field("id"), description, pc.cast(pc.utf8_length(residues), pa.int64()), residues
+    ok = _mask(parts.is_valid())
+    parts = parts.filter(pa.array(ok))
+    description = pc.utf8_trim(pc.struct_field(parts, "description"), " \t\r")
+    residues = pc.replace_substring_regex(pc.struct_field(parts, "residues"), r"[\r\n]+", "")
+    return np.flatnonzero(ok), (pc.struct_field(parts, "id"), description, pc.cast(pc.utf8_length(residues), pa.int64()), residues)
 
 
 def _split_csv(text: str) -> list[str] | None:
@@ -155,55 +202,36 @@ def diagnose(fmt: str | None, text: str | None) -> tuple[str | None, str | None,
 
 
 def _rows(fmt: str | None, numbers: pa.Array, texts: pa.Array) -> Iterator[list[pa.Array]]:
-    """The parsed columns of some records, block by block; blocks that fail are halved."""
-    parse = {"csv": parse_csv_block, "fasta": parse_fasta_block}.get(fmt)
-    todo = [(0, len(texts))]
-    while todo:
-        low, high = todo.pop()
-        part = texts.slice(low, high - low)
-        try:
-            if parse is None or part.null_count:
-                raise Failed
-            columns = parse(part)
-            yield [numbers.slice(low, high - low), *columns, pa.nulls(high - low, pa.string())]
-        except Failed:
-            if high - low == 1:
-                own = diagnose(fmt, part[0].as_py())
-                types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-                yield [numbers.slice(low, 1), *(pa.array([x], t) for x, t in zip(own, types, strict=True))]
-            else:
-                middle = (low + high) // 2
-                todo += [(middle, high), (low, middle)]
-
-
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-    low = size = 0
-    for k, n in enumerate(lengths):
-        if k > low and (k - low >= BLOCK_ROWS or size + n > BLOCK_CHARS):
-            yield low, k
-            low, size = k, 0
-        size += n
-    yield low, len(lengths)
+    """The columns of some records: those a bulk parser takes, all others by the strict rules."""
+    parse = {"csv": parse_csv, "fasta": parse_fasta}.get(fmt)
+    took, columns = parse(texts) if parse else (np.zeros(0, np.int64), None)
+    rest = np.ones(len(texts), bool)
+    rest[took] = False
+    left = np.flatnonzero(rest)
+    own = [diagnose(fmt, t) for t in texts.take(pa.array(left)).to_pylist()]
+    parts = [pa.array(c, t) for c, t in zip(zip(*own, strict=True) if own else [[]] * 5, TYPES, strict=True)]
+    if columns:
+        parts = [pa.concat_arrays([x, y]) for x, y in zip([*columns, pa.nulls(len(took), pa.string())], parts, strict=True)]
+    order = pa.array(np.argsort(np.concatenate([took, left])))
+    yield [numbers, *(c.take(order) for c in parts)]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for fmt in pc.unique(b.column(1)).to_pylist():
             own = b.filter(pc.equal(b.column(1), fmt) if fmt is not None else pc.is_null(b.column(1)))
-            numbers, texts = own.column(0), own.column(2).cast(pa.string())
-            for low, high in _blocks(texts):
-                done = list(_rows(fmt, numbers.slice(low, high - low), texts.slice(low, high - low)))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*done, strict=True)], PARSED)
+            for columns in _rows(fmt, own.column(0), own.column(2).cast(pa.string())):
+                yield pa.RecordBatch.from_arrays(columns, PARSED)
 
 
 def parse_records(df: DataFrame, number: str, fmt: str, text: str) -> DataFrame:
     """Every record of `df` with its fields, or with the reason why it cannot be loaded: `number`, `seq_id`,
     `description`, `seq_len`, `residues`, `reason` (null for sound records, which alone have fields).
 
-    Blocks of records go through a bulk parser of whole columns; a block in which anything is amiss is
-    halved again and again, so that each bad record ends up alone and is diagnosed strictly, whereas all
-    others keep the fast path. A record the fast path does not take but the strict rules do is loaded.
+    Blocks of csv records go through a bulk reader; a block it cannot read is halved again and again, so that
+    each bad record ends up alone, whereas all others keep the fast path. Values are then checked over whole
+    columns, and fasta records are taken apart by one pattern over the column. What the fast path does not
+    take is diagnosed strictly, record by record; a record that the strict rules do take is loaded.
 
     Reasons, of which the first that applies is given: `empty`; csv: `bad_quoting`, `bad_columns`, `bad_id`,
     `bad_residue`, `bad_length`; fasta: `no_marker`, `no_sequence`, `bad_id`, `bad_residue`; and
@@ -215,6 +243,6 @@ def parse_records(df: DataFrame, number: str, fmt: str, text: str) -> DataFrame:
 
 
 def split_records(df: DataFrame, number: str, fmt: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(sound records, rejected records with reasons)."""
-    parsed = parse_records(df, number, fmt, text)
+    """(sound records, rejected records with reasons), parsed once and written to the checkpoint folder."""
+    parsed = cut_lineage(parse_records(df, number, fmt, text))
     return parsed.where("reason IS NULL").drop("reason"), parsed.where("reason IS NOT NULL").select(number, "reason")
