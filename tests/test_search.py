@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import alphabet as A
 from strandlake.functions import matrices as M
 from strandlake.functions import statistics as S
-from strandlake.operators import hits, masking, seeds
+from strandlake.operators import alignment, hits, masking, seeds
 from strandlake.operators.alignment import align, align_pairs, alignment_stats
 from strandlake.operators.hits import best_seeds, ranked_rows, top_hits, top_proteins, within_budget
 from strandlake.operators.intervals import merge_stretches
@@ -35,7 +35,20 @@ def test_matrix_is_symmetric_and_has_its_marks():
     with pytest.raises(ValueError):
         M.matrix("UNKNOWN1")
     with pytest.raises(ValueError):
-        M.matrix("PAM30")
+        M.matrix("PAM31")
+
+
+@pytest.mark.parametrize(("name", "low", "high"), [("BLOSUM45", -5, 15), ("BLOSUM50", -5, 15), ("BLOSUM62", -4, 11), ("BLOSUM80", -6, 11), ("BLOSUM90x", -6, 11), ("PAM30", -17, 13), ("PAM70", -11, 13), ("PAM250", -8, 17)])
+def test_built_in_matrices(name, low, high):
+    m = M.matrix(name)
+    assert m.shape == (25, 25) and (m == m.T).all() and (m.min(), m.max()) == (low, high)
+    x, stop = A.MATRIX_ORDER.index("X"), A.MATRIX_ORDER.index("*")
+    assert m[x, x] == -1 and m[stop, stop] == 1
+
+
+def test_alignment_under_another_matrix():
+    got = align_pairs([internal("HEAGAWGHEE")], [internal("PAWHEAE")], hsp_table("BLOSUM50"), 10, 1)
+    assert [int(x[0]) for x in got] == [26, 8, 4]
 
 
 def test_matrix_from_a_file(tmp_path):
@@ -65,7 +78,7 @@ def test_statistics(spark):
 
 
 def test_options_are_checked():
-    for wrong in ({"min_length": 2}, {"alignments": 0}, {"gap_open": 0}):
+    for wrong in ({"min_length": 2}, {"alignments": -1}, {"seeds": -1}, {"gap_open": 0}):
         with pytest.raises(ValueError):
             SearchOptions(**wrong)
     assert SearchOptions().fast().alignments == 1500
@@ -117,6 +130,66 @@ def test_alignment_statistics(spark):
     assert rows[3].length == rows[4].length == -1
 
 
+def plain_trace(q: str, t: str, gap_open: int, gap_extend: int) -> tuple[int, int, int, int]:
+    """(length, gap openings, mismatches, identities) of an alignment from the first to the last places, by the
+    whole table: pairs first, then gaps along the target, and longer gaps before new ones."""
+    n, m, low = len(q), len(t), -(10**9)
+    h, e, f = ([[0] * (m + 1) for _ in range(n + 1)], [[low] * (m + 1) for _ in range(n + 1)], [[low] * (m + 1) for _ in range(n + 1)])
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            e[i][j] = max(e[i - 1][j] - gap_extend, h[i - 1][j] - gap_open)
+            f[i][j] = max(f[i][j - 1] - gap_extend, h[i][j - 1] - gap_open)
+            h[i][j] = max(0, h[i - 1][j - 1] + int(TABLE[ord(q[i - 1]) - 65, ord(t[j - 1]) - 65]), e[i][j], f[i][j])
+    i, j, state, before, out = n, m, "", "M", [0, 0, 0, 0]
+    while i > 1 and j > 0:
+        pair = h[i - 1][j - 1] + int(TABLE[ord(q[i - 1]) - 65, ord(t[j - 1]) - 65])
+        step = state or ("M" if pair >= max(e[i][j], f[i][j], 0) else "E" if e[i][j] > max(f[i][j], 0) else "F")
+        if step == "E":
+            state, i = ("" if h[i - 1][j] - gap_open > e[i - 1][j] - gap_extend else "E"), i - 1
+        elif step == "F":
+            state, j = ("" if h[i][j - 1] - gap_open > f[i][j - 1] - gap_extend else "F"), j - 1
+        else:
+            state, i, j = "", i - 1, j - 1
+            if j > 0:
+                out[3 if q[i - 1] == t[j - 1] else 2] += 1
+        out[0] += 1
+        out[1] += step != "M" and step != before
+        before = step
+    return tuple(out)
+
+
+@pytest.mark.parametrize(("gap_open", "gap_extend"), [(11, 1), (5, 2), (3, 3), (2, 1)])
+def test_traces_against_scalar(monkeypatch, gap_open, gap_extend):
+    """In a band that holds the whole table, so that ties cannot lie beyond it."""
+    random.seed(gap_open)
+    qs, ts = [], []
+    for _ in range(400):
+        q = "".join(random.choices("ABCDEJK", k=random.randint(1, 25)))
+        t = list(q)
+        for _ in range(random.randint(0, 5)):
+            k = random.randrange(len(t) + 1)
+            t[k : k + random.randint(0, 4)] = random.choices("ABCDEJKLMN", k=random.randint(0, 4))
+        qs.append(q)
+        ts.append("".join(t))
+    score, q_end, t_end = align_pairs(qs, ts, TABLE, gap_open, gap_extend)
+    own = [k for k in range(len(qs)) if score[k] > 0]
+    q, t = [qs[k][: q_end[k] + 1] for k in own], [ts[k][: t_end[k] + 1] for k in own]
+    _, q_at, t_at = align_pairs([x[::-1] for x in q], [x[::-1] for x in t], TABLE, gap_open, gap_extend)
+    q, t = ([x[len(x) - n - 1 :] for x, n in zip(xs, at, strict=True)] for xs, at in ((q, q_at), (t, t_at)))
+    plain = alignment._band
+    monkeypatch.setattr(alignment, "_band", lambda q, t, reach, *rest: plain(q, t, np.full_like(reach, 60), *rest))
+    got = alignment.trace_pairs(q, t, score[own], TABLE, gap_open, gap_extend)
+    assert [tuple(map(int, r)) for r in got] == [plain_trace(a, b, gap_open, gap_extend) for a, b in zip(q, t, strict=True)]
+
+
+def test_traces_of_long_pairs_stay_in_their_band():
+    random.seed(3)
+    q = "".join(random.choices("ABCDEFGHIJKLMNOPQRST", k=9_000))
+    t = q[:4_000] + "A" + q[4_000:8_000] + q[8_020:]
+    assert alignment.trace_pairs([q], [t], np.array([9_000], np.int32), TABLE, 11, 1)[0, :3].tolist() == [9_000, 2, 2]  # the steps onto either gap count as mismatches
+    assert alignment.trace_pairs(["A" * 30_000], ["A"], np.array([4], np.int32), TABLE, 11, 1).tolist() == [[-1] * 4]
+
+
 def place(record: str, at: int, first: int) -> tuple[np.ndarray, np.ndarray]:
     return contexts([record[at:]], 128), contexts([record[max(first, at - 127) : at][::-1]], 127)
 
@@ -168,9 +241,10 @@ def family(seed: int) -> tuple[list[str], list[str]]:
     return [copies[0][5:30], copies[1][:12] + "VVV" + copies[1][15:], "A", "", copies[2][3:25]], [*copies[2:], parent, parent, "", "B" * 30]
 
 
-@pytest.mark.parametrize("part_rows", [60_000, 25])
-def test_walk_against_plain_walk(spark, monkeypatch, part_rows):
+@pytest.mark.parametrize(("part_rows", "fan"), [(60_000, 4_096), (25, 4_096), (25, 4)])
+def test_walk_against_plain_walk(spark, monkeypatch, part_rows, fan):
     monkeypatch.setattr(seeds, "PART_ROWS", part_rows)
+    monkeypatch.setattr(seeds, "FAN", fan)
     monkeypatch.setattr(seeds, "LOOKUP_ROWS", part_rows)
     queries, proteins = family(4)
     q = spark.createDataFrame(list(enumerate(queries)) + [(99, None), (None, "ABCDEFGH")], "query_idx long, residues string")
@@ -179,6 +253,22 @@ def test_walk_against_plain_walk(spark, monkeypatch, part_rows):
     assert sorted(tuple(r) for r in got.collect()) == plain_walk(queries, proteins, 5)
 
 
+def test_walk_with_a_budget_or_a_least_score(spark, monkeypatch):
+    monkeypatch.setattr(seeds, "GATHERED", 20)
+    queries, proteins = family(4)
+    q = spark.createDataFrame(list(enumerate(queries)), "query_idx long, residues string")
+    p = spark.createDataFrame(list(enumerate(proteins)), "protein_idx long, residues string")
+    every = plain_walk(queries, proteins, 5)
+    some = seed_walk(q, suffix_index(p), SearchOptions(), least=30)
+    assert sorted(tuple(r) for r in some.collect()) == [s for s in every if s[5] >= 30] != []
+    few = SearchOptions(seeds=15)
+    got = within_budget(seed_walk(q, suffix_index(p), few), few)
+    want = within_budget(spark.createDataFrame(every, got.schema), few)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+    none = SearchOptions(seeds=0)
+    assert within_budget(seed_walk(q, suffix_index(p), none), none).count() == len(every)
+
+
 def test_walk_over_an_empty_database(spark):
     q = spark.createDataFrame([(1, "ABCDEFGH")], "query_idx long, residues string")
     p = spark.createDataFrame([], "protein_idx long, residues string")
@@ -250,10 +340,21 @@ def test_fasta_files(spark, tmp_path):
     with pytest.raises(Exception, match="no sequence"):
         read_fasta(spark, str(tmp_path / "bad.fa")).collect()
     (tmp_path / "not.fa").write_text("a\nMK")
-    with pytest.raises(ValueError, match="not FASTA"):
+    with pytest.raises(Exception, match="not FASTA"):
         build_index(spark, str(tmp_path / "not.fa"), str(tmp_path / "no"))
 
 
+def test_markers_of_fasta_records(spark, tmp_path):
+    """One marker is dropped of each record; a file among others that has none at its beginning fails."""
+    (tmp_path / "a.fa").write_text(">>x y\nMK\n>>z\nAC")
+    (tmp_path / "b.fa").write_text(">b\nMK")
+    (tmp_path / "empty.fa").write_text("")
+    assert {(r.seq_id, r.residues) for r in read_fasta(spark, str(tmp_path / "*.fa")).collect()} == {(">x", "MK"), (">z", "AC"), ("b", "MK")}
+    (tmp_path / "c.fa").write_text("b\nMK\n>c\nMK")
+    with pytest.raises(Exception, match="not FASTA"):
+        read_fasta(spark, str(tmp_path / "*.fa")).collect()
+
+
 def test_whole_search_from_files(spark, tmp_path):
     random.seed(8)
     residues = ["".join(random.choices("ACDEFGHIKLMNPQRSTVWY", k=120)) for _ in range(6)]
