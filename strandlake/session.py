@@ -4,21 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Below this many rows one key cannot hurt, whatever its share.
-HOT_MIN_ROWS = 1_000_000
+#: Up to this many rows a task takes a whole join at once, so no key needs a way of its own.
+HOT_MIN_ROWS = 20_000
 #: A key is hot from this fraction of all rows on, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1_000
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder named by spark.checkpoint.dir; set one only where none is set (tests)."""
+    """Keep the folder named by spark.checkpoint.dir. Where none is named, only a local session may take a
+    temporary folder of its own machine; a cluster needs one that all its executors see."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
@@ -35,20 +44,41 @@ def cut_table(df: DataFrame) -> tuple[DataFrame, str]:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
     df.write.parquet(path)
+    _file_system(spark, path).deleteOnExit(_path(spark, path))
+    if (made := _written.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` read back from the shared checkpoint folder: a lost executor costs no recomputation, and no
-    plan grows with the number of steps before it."""
+    plan grows with the number of steps before it. The table goes when the application ends."""
     return cut_table(df)[0]
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of `cut_table` that nothing reads any more."""
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    _file_system(spark, path).delete(_path(spark, path), True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that `cut_lineage` writes inside are deleted at the end, when their results have been written."""
+    before = _written.set([])
+    try:
+        yield
+    finally:
+        for path in _written.get():
+            discard(spark, path)
+        _written.reset(before)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, n_left: int, how: str = "left") -> DataFrame:

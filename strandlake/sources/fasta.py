@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.alphabet import clean_residues, header_id
 
 
+RECORDS = "file string, block long, record_no long, value string"
+
+
 def parse_record(record: Column) -> tuple[Column, Column]:
-    """(id, residues as they stand) of one record; the query fails on a record without a line break."""
+    """(id, residues as they stand) of one record without its marker; the query fails on a record without a
+    line break."""
     parts = F.split(record, "\n", 2)
     body = F.when(F.size(parts) == 2, parts[1]).otherwise(F.raise_error(F.concat(F.lit("no sequence after header: "), F.substring(record, 1, 60))))
-    return header_id(parts[0]), body
+    return header_id(F.concat(F.lit(">"), parts[0])), body
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records as the reader splits them, the first of each file without its marker; fails where it has none."""
+    seen = None
+    for b in batches:
+        files, blocks = (b.column(c).dictionary_encode() for c in ("file", "block"))
+        codes = np.stack([x.indices.to_numpy(zero_copy_only=False) for x in (files, blocks)])
+        new = np.flatnonzero(np.append(True, (codes[:, 1:] != codes[:, :-1]).any(0)))
+        value = b.column("value")
+        for k in new.tolist():
+            where = b.column("file")[k].as_py(), b.column("block")[k].as_py()
+            if where != seen and where[1] == 0:
+                if not value[k].as_py().startswith(">"):
+                    raise ValueError(f"not FASTA: {where[0]}")
+                own = pc.equal(pa.array(np.arange(b.num_rows)), k)
+                value = pc.if_else(own, pc.utf8_slice_codeunits(value, 1), value)
+            seen = where
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], value], b.schema.names)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -23,28 +51,10 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     without a line break. Blank residues are kept, with length 0.
     """
     raw = spark.read.text(path, lineSep="\n>").select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record_no"), "value"
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("record_no"), "value"
     )
-    seq_id, body = parse_record(F.regexp_replace("value", "^>", ""))
-    return raw.where(F.length("value") > 0).select("file", "record_no", seq_id.alias("seq_id"), clean_residues(body).alias("residues"))
-
-
-def check_fasta(spark: SparkSession, path: str) -> None:
-    """Fail unless every file begins with `>`; one byte of each file is read, on the driver."""
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
-    for found in fs.globStatus(where) or []:
-        files = fs.listFiles(found.getPath(), True)
-        while files.hasNext():
-            file = files.next()
-            if file.getPath().getName().startswith(("_", ".")):
-                continue
-            stream = fs.open(file.getPath())
-            first = stream.read()
-            stream.close()
-            if first != ord(">"):
-                raise ValueError(f"not FASTA: {file.getPath().toString()}")
+    seq_id, body = parse_record(F.col("value"))
+    return raw.mapInArrow(_marked, RECORDS).where(F.length("value") > 0).select("file", "record_no", seq_id.alias("seq_id"), clean_residues(body).alias("residues"))
 
 
 def fasta_text(seq_id: Column, residues: Column, width: int | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandlake.options import SearchOptions
 from strandlake.plans.search import search_fast
+from strandlake.session import passing_tables
 
 QUERY_SCHEMA = "query_idx long, query_id string, residues string"
 
@@ -27,7 +28,8 @@ def search_stream(queries: DataFrame, proteins: DataFrame, index: DataFrame, opt
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        search(batch, proteins, index, options).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        with passing_tables(batch.sparkSession):
+            search(batch, proteins, index, options).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return queries.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
