@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,14 @@ from strandlake.session import cut_lineage, spread
 
 #: Rows of the suffix table in a partition.
 PART_ROWS = 100_000
+#: Tasks of a range sort at most; beyond, tasks sort more rows, which Spark spills.
+MOST_TASKS = 20_000
+
+
+def range_tasks(spark: SparkSession, rows: int, each: int = PART_ROWS) -> int:
+    """Tasks for sorting so many rows: `each` in a task, but at least a task a core and MOST_TASKS at most."""
+    wanted = -(-rows // each)
+    return max(1, min(MOST_TASKS, wanted if rows < 1_000 else max(wanted, spark.sparkContext.defaultParallelism)))
 
 
 def suffix_starts(residues: Column, shortest: int = 1) -> Column:
@@ -40,12 +48,11 @@ def query_suffixes(df: DataFrame, idx: str, residues: str, min_length: int, long
     return rows.select(idx, "start", key.alias("suffix"))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at = 0
-    for b in batches:
-        numbers = pa.array(np.arange(at, at + b.num_rows))
-        at += b.num_rows
-        yield pa.RecordBatch.from_arrays([*b.columns, numbers], [*b.schema.names, "_at"])
+def number_rows(df: DataFrame) -> DataFrame:
+    """`df` with `_part`, the number of each row's partition, and `_at`, its own number in it, both from 0."""
+    ids = df.withColumn("_id", F.monotonically_increasing_id())
+    in_part = (1 << 33) - 1
+    return ids.withColumns({"_part": F.shiftright("_id", 33).cast("int"), "_at": F.col("_id").bitwiseAND(F.lit(in_part))}).drop("_id")
 
 
 def global_rank(df: DataFrame, order: list[str], rank: str, rows: int | None = None) -> DataFrame:
@@ -55,10 +62,9 @@ def global_rank(df: DataFrame, order: list[str], rank: str, rows: int | None = N
     it are added. One count a partition goes to the driver.
     """
     n = rows if rows is not None else df.count()
-    parts = max(1, -(-n // PART_ROWS))
+    parts = range_tasks(df.sparkSession, n)
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = T.StructType([*df.schema.fields, T.StructField("_at", T.LongType())])
-    numbered = cut_lineage(placed.mapInArrow(_numbered, schema).withColumn("_part", F.spark_partition_id()))
+    numbered = cut_lineage(number_rows(placed))
     return add_bases(numbered, {"_base": F.lit(1)}).withColumn(rank, F.col("_base") + F.col("_at")).drop("_base", "_at", "_part")
 
 
@@ -97,7 +103,7 @@ def insertion_points(queries: DataFrame, proteins: DataFrame, min_length: int, q
     db = suffixes(proteins, p, residues, None).select(F.lit(1).alias("kind"), F.col(p).alias("idx"), "start", "suffix")
     qs = query_suffixes(queries, q, residues, min_length, None).select(F.lit(0).alias("kind"), F.col(q).alias("idx"), "start", "suffix")
     both = db.unionByName(qs)
-    parts = max(1, -(-both.count() // PART_ROWS))
+    parts = range_tasks(both.sparkSession, both.count())
     order = ["suffix", "kind", "idx", "start"]
     schema = T.StructType([*both.schema.fields, T.StructField("_before", T.LongType())])
     placed = both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_running, schema)
@@ -111,7 +117,7 @@ def running_offsets(df: DataFrame, order: str, sizes: dict[str, Column]) -> Data
     of the unique column `order`. Null sizes count as 0."""
     names = [f"_size_{x}" for x in sizes]
     rows = df.withColumns({x: F.coalesce(c, F.lit(0)).cast("long") for x, c in zip(names, sizes.values(), strict=True)})
-    parts = max(1, -(-rows.count() // PART_ROWS))
+    parts = range_tasks(rows.sparkSession, rows.count())
     schema = T.StructType([*rows.schema.fields, *(T.StructField(f"_before{x}", T.LongType()) for x in names)])
     placed = rows.repartitionByRange(parts, order).sortWithinPartitions(order).mapInArrow(_sums(names), schema)
     done = cut_lineage(placed.withColumn("_part", F.spark_partition_id()))

@@ -23,12 +23,14 @@ class SearchOptions:
     hits: int = 100
     evalue: float = 1e-3
     mask: bool = True
+    #: Drop alignments whose score does not fit into 16 bits, as a search with short counters does.
+    saturation: bool = False
 
     def __post_init__(self) -> None:
         if self.min_length < 3:
             raise ValueError("min_length must be at least 3")
-        if self.alignments < 1 or self.seeds < 1 or self.hits < 1:
-            raise ValueError("alignments, seeds and hits must be positive")
+        if self.alignments < 0 or self.seeds < 0 or self.hits < 0:
+            raise ValueError("alignments, seeds and hits must not be negative")
         if self.gap_open < self.gap_extend or self.gap_extend < 0:
             raise ValueError("gap_open must not be below gap_extend")
 
@@ -39,6 +41,8 @@ class SearchOptions:
 
 #: HSPs below this score are not aligned.
 MIN_HSP_TO_ALIGN = 40
+#: The largest score that fits into 16 bits.
+SATURATED = 32_767
 #: Residues an HSP is extended to either side.
 EXTENSION = 128
 #: Queries longer than this keep 1.5 x hits proteins only.

@@ -94,7 +94,7 @@ def low_complexity_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def lookup_suffixes(spark: SparkSession, d: str) -> DataFrame:
     """The suffixes of queries that are looked up, by query."""
-    rows = query_suffixes(_table(spark, d, "queries"), "query_idx", "residues", MIN_LENGTH)
+    rows = query_suffixes(_table(spark, d, "queries"), "query_idx", "residues", MIN_LENGTH, None)
     return rows.groupBy("query_idx").agg(F.count(F.lit(1)).alias("n"), F.min("suffix").alias("first_suffix"), F.max("start").alias("last_start"))
 
 
@@ -155,7 +155,7 @@ SELECT protein_idx, count(*) AS n, min(position - protein_start) AS first_place,
 FROM p JOIN proteins ON position BETWEEN protein_start AND protein_start + protein_len GROUP BY protein_idx""",
     "window_entropies": f"WITH x AS ({_windows('queries', 'query_idx', WINDOW)}) SELECT query_idx, start::INTEGER AS start, round({_ENTROPY}, 6) AS entropy FROM x",
     "low_complexity_windows": f"WITH x AS ({_windows('proteins', 'protein_idx', WINDOW)}) SELECT protein_idx, count(*) AS n_low, min(start)::INTEGER AS first_start FROM x WHERE {_ENTROPY} <= {TRIGGER}::DOUBLE GROUP BY protein_idx",
-    "lookup_suffixes": f"WITH q AS ({_Q}) SELECT query_idx, count(*) AS n, min(substr(suffix, 1, 128)) AS first_suffix, max(start)::INTEGER AS last_start FROM q GROUP BY query_idx",
+    "lookup_suffixes": f"WITH q AS ({_Q}) SELECT query_idx, count(*) AS n, min(suffix) AS first_suffix, max(start)::INTEGER AS last_start FROM q GROUP BY query_idx",
     "suffix_rank": f"WITH s AS ({_DB}) SELECT protein_idx, start::INTEGER AS start, row_number() OVER (ORDER BY suffix, protein_idx, start) - 1 AS suffix_rank FROM s",
     "insertion_point": f"WITH b AS (SELECT 1 AS kind, protein_idx AS idx, start, suffix FROM ({_DB}) UNION ALL SELECT 0, query_idx, start, suffix FROM ({_Q})), r AS (SELECT kind, idx, start, sum(kind) OVER (ORDER BY suffix, kind, idx, start ROWS UNBOUNDED PRECEDING)::BIGINT AS position FROM b) SELECT idx AS query_idx, start::INTEGER AS start, position FROM r WHERE kind = 0",
     "word_matches": f"WITH d AS (SELECT w, count(*) AS places FROM ({_windows('proteins', 'protein_idx', WORD)}) GROUP BY w), q AS (SELECT query_idx, w, count(*) AS times FROM ({_windows('queries', 'query_idx', WORD)}) WHERE NOT contains(w, '{UNKNOWN_INTERNAL}') GROUP BY query_idx, w) SELECT query_idx, sum(places * times)::BIGINT AS n_matches, count(*) AS n_words FROM q JOIN d USING (w) GROUP BY query_idx",

@@ -18,7 +18,7 @@ from strandlake.operators.report import fast_columns
 from strandlake.operators.seeds import score_places, seed_walk, suffix_index
 from strandlake.options import EXTENSION, MIN_HSP_TO_ALIGN, SearchOptions
 from strandlake.plans.search import database_size, search_fast as run_fast, search_tabular as run_tabular
-from strandlake.session import cut_lineage, spread
+from strandlake.session import cut_lineage, lookup_join, spread
 
 OPTIONS = SearchOptions()
 #: Proteins that the list of best seeds keeps of each query; small enough that many queries have more.
@@ -102,7 +102,7 @@ def report_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def missing_proteins(spark: SparkSession, d: str) -> DataFrame:
     """Ordinals that hits name and the index lacks."""
-    counts = _table(spark, d, "hits").groupBy("db_index").agg(F.count(F.lit(1)).alias("n"))
+    counts = _table(spark, d, "hits").where("db_index IS NOT NULL").groupBy("db_index").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(_table(spark, d, "proteins").select(F.col("protein_idx").alias("db_index")), "db_index", "left_anti")
 
 
@@ -124,9 +124,10 @@ def _aligned_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_residues(hits: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    n = hits.count()
     q = _table(spark, d, "queries").select("query_idx", F.col("residues").alias("q_residues"))
     p = _table(spark, d, "proteins").select(F.col("protein_idx").alias("db_index"), F.col("residues").alias("p_residues"))
-    return hits.join(q, "query_idx").join(p, "db_index")
+    return lookup_join(lookup_join(hits, p, "db_index", n, "inner"), q, "query_idx", n, "inner")
 
 
 def seed_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +139,7 @@ def seed_scores(spark: SparkSession, d: str) -> DataFrame:
 def aligned_scores(spark: SparkSession, d: str) -> DataFrame:
     """The local alignment of every pair of a query and a protein that hits name."""
     pairs = cut_lineage(_table(spark, d, "hits").where("is_aligned AND gapless_score >= 40 AND qend >= 0 AND send >= 0").select("query_idx", "db_index").distinct())
-    rows = _with_residues(pairs.repartition(align_tasks(pairs)), spark, d)
+    rows = _with_residues(pairs, spark, d).repartition(align_tasks(spark, pairs.count()))
     return align(rows, "q_residues", "p_residues", OPTIONS).select("query_idx", "db_index", "rawscore", "qend", "send")
 
 

@@ -10,6 +10,9 @@ from strandlake.__main__ import main, options, parser
 def test_options_of_the_command_line():
     own = options(parser().parse_args(["search", "-f", "q", "-p", "i", "-F", "-A", "7", "-E", "10", "-M"]))
     assert (own.seeds, own.alignments, own.evalue, own.mask) == (100_000, 7, 10.0, False)
+    for given, want in ((["-A", "7", "-F"], (100_000, 1_500)), (["-S", "0", "-A", "0"], (0, 0)), (["-F", "-S", "0"], (0, 1_500)), ([], (300_000, 5_000))):
+        own = options(parser().parse_args(["search", "-f", "q", "-p", "i", *given]))
+        assert (own.seeds, own.alignments) == want
     with pytest.raises(SystemExit):
         parser().parse_args(["search", "-f", "q"])
     with pytest.raises(ValueError):
