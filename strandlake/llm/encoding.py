@@ -29,6 +29,10 @@ BLOCK = 2_000_000
 #: Where a restored word has up to SHORT letters, which many chains can give by chance, texts that hold it for
 #: each that holds the word as it stands.
 SHORT, SHORT_TIMES = 2, 20
+#: Times that a restored word is looked at again.
+MOST_STEPS = 3
+#: Estimates of how many words of a text are garbled, at most.
+ROUNDS = 10
 #: Different words a task counts before it passes the counts on.
 COUNTED = 200_000
 
@@ -324,12 +328,54 @@ class Model:
         whole = [c for c in chains if IS_UTF8[c]]
         all_words = {w for w in WORD.findall(text) if not w.isascii()} if whole else set()
         made = {c: {w: r for w in all_words if (r := restore(w, CHAINS[c - 1])) not in (None, w)} for c in whole}
+        strict: dict[str, str] = {}
         for c in sorted(whole, key=lambda c: (sum(map(self.knows, made[c].values())), chains[c], -c)):
-            back |= made[c]
+            strict |= made[c]
+        ways = [(max(chains[c] for c in whole), {w: self.undone(r) for w, r in strict.items()})] if whole else []
+        if single := [c for c in chains if not IS_UTF8[c] and c != len(NAMES) - 1]:
+            c = max(single, key=lambda c: (chains[c], -c))
+            ways.append((chains[c], self.likewise(text, c, words)))
+        for _, more in sorted(ways, key=lambda way: way[0]):
+            back |= more
         restored = WORD.sub(lambda m: back.get(m.group(), m.group()), text) if back else None
         most = min(chains, key=lambda c: (-chains[c], c))
         return NAMES[most], sum(c in chains for c, _, _ in words.values()), restored
 
+    def undone(self, word: str) -> str:
+        """A restored word, freed of UTF-8 chains that it still shows: some texts were garbled more than once."""
+        for _ in range(MOST_STEPS):
+            if word.isascii():
+                break
+            own = Words(_flat([word]))
+            margin = own.scores(self.table).sum(0)
+            margin -= margin[0]
+            likely = [c for c in np.argsort(-margin) if IS_UTF8[c] and margin[c] > MARGIN_UTF8]
+            better = next((r for c in likely if (r := restore(word, CHAINS[c - 1])) not in (None, word)), None)
+            if better is None:
+                break
+            word = better
+        return word
+
+    def likewise(self, text: str, c: int, found: dict[str, Finding]) -> dict[str, str]:
+        """The words beyond ASCII of a text that the single-byte chain `c`, which is sure for the text, has most
+        likely made, each with the word it undoes to. How likely a word is to be garbled before it is looked at
+        is the share of such words in the text, which is estimated anew until it stays."""
+        undone = {w: r for w in sorted({w for w in WORD.findall(text) if not w.isascii()}) if (r := restore(w, CHAINS[c - 1])) is not None}
+        own = Words(_flat(list(undone)))
+        margin = np.full(len(undone), -np.inf)
+        if len(own):
+            scores = own.scores(self.table)
+            margin[own.text_of] = scores[:, c] - scores[:, 0]
+        margin[[k for k, w in enumerate(undone) if found.get(w, (0,))[0] == c and found[w][2]]] = np.inf
+        garbled = margin == np.inf
+        for _ in range(ROUNDS):
+            share = np.log((garbled.sum() + 0.5) / ((~garbled).sum() + 0.5))
+            new = margin + share > 0
+            if (new == garbled).all():
+                break
+            garbled = new
+        return {w: r for (w, r), g in zip(undone.items(), garbled, strict=True) if g and r != w}
+
 
 class Tally(dict):
     """What the words seen lately are counted as."""
