@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from strandlake.llm.components import link_groups
 from strandlake.llm.encoding import garbled_texts
 from strandlake.llm.leakage import find_leaks
-from strandlake.llm.ledger import fold_batches, hidden_copies
+from strandlake.llm.ledger import bucket_count, canonical, copies_of, fold_keys
 from strandlake.llm.packing import pack_texts
 from strandlake.llm.spans import shared_lengths
 from strandlake.llm.topn import top_n_per_group
-from strandlake.session import ensure_checkpoint_dir
-
-BUCKETS = 32
+from strandlake.session import cut_lineage, ensure_checkpoint_dir
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -55,17 +53,19 @@ def _ledger_path(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4()}"
 
 
-def _ledger(spark: SparkSession, d: str) -> DataFrame:
-    return fold_batches(_table(spark, d, "sequences"), _ledger_path(spark), "record_idx", "seq_id", "residues", "loaded_at", buckets=BUCKETS)
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "sequences")
+    return cut_lineage(canonical(rows, "record_idx", "seq_id", "residues", bucket_count(rows.count()), "loaded_at"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return hidden_copies(_table(spark, d, "sequences"), _ledger(spark, d), "record_idx", "seq_id", "residues", BUCKETS)
+    keys = _keys(spark, d)
+    return copies_of(keys, fold_keys(keys, _ledger_path(spark)))
 
 
 def p4_copies(spark: SparkSession, d: str) -> DataFrame:
     """Every record that stands for a group, with the number of its copies."""
-    return _ledger(spark, d).select("first_idx", "copies")
+    return fold_keys(_keys(spark, d), _ledger_path(spark)).select("first_idx", "copies")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -164,6 +164,30 @@ def test_a_batch_counts_once(spark, tmp_path):
     for part, number in ((df, 0), (more, 1), (more, 1)):
         ledger.add_batch(spark, path, ledger.canonical(part, "i", "n", "r", 4), number)
     assert [(r.first_idx, r.copies) for r in ledger.read_ledger(spark, path).collect()] == [(3, 3)]
+    ledger.add_batch(spark, path, ledger.canonical(df, "i", "n", "r", 4), 0)
+    ledger.vacuum(spark, path)
+    assert [(r.first_idx, r.copies) for r in ledger.read_ledger(spark, path).collect()] == [(3, 3)]
+
+
+def test_a_lost_batch_leaves_the_ledger_as_it_was(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "l")
+    keys = ledger.canonical(spark.createDataFrame([(5, "a", "x"), (6, "b", "y")], "i long, n string, r string"), "i", "n", "r", 4)
+    ledger.add_batch(spark, path, keys, 0)
+    with monkeypatch.context() as m:
+        m.setattr(ledger, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ledger.add_batch(spark, path, keys, 1)
+    assert {(r.first_idx, r.copies) for r in ledger.read_ledger(spark, path).collect()} == {(5, 1), (6, 1)}
+    ledger.add_batch(spark, path, keys, 1)
+    assert {(r.first_idx, r.copies) for r in ledger.read_ledger(spark, path).collect()} == {(5, 2), (6, 2)}
+
+
+def test_hot_keys_of_the_ledger(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "HOT_SHARE", 3)
+    df = spark.range(60).selectExpr("id AS i", "IF(id < 40, 'hot', concat('n', id DIV 2)) AS n", "'ACD' AS r", "timestamp_seconds(id) AS at")
+    counted = ledger.fold_batches(df, str(tmp_path / "l"), "i", "n", "r", "at")
+    pairs = {tuple(r) for r in ledger.hidden_copies(df, counted, "i", "n", "r", 4).collect()}
+    assert pairs == {(0, k) for k in range(1, 40)} | {(k, k + 1) for k in range(40, 60, 2)}
 
 
 def test_ledger_of_nothing(spark, tmp_path):
@@ -391,6 +415,14 @@ def test_single_byte_chains_are_found(model):
         assert texts and len(found) >= 0.9 * len(texts)
 
 
+@pytest.mark.parametrize("chain", [c for c in encoding.CHAINS if c[0][0] != "utf-8"])
+def test_single_byte_chains_are_undone(model, chain):
+    texts = [t for t in sample(12, 60) if not t.isascii() and (g := encoding.garble(t, chain)) and g != t]
+    found = {t: text for t, _, _, text in model.repair([encoding.garble(t, chain) for t in texts])}
+    assert len(found) >= 0.6 * len(texts)
+    assert sum(text == texts[k] for k, text in found.items()) >= 0.8 * len(found)
+
+
 def test_sound_texts_stay(model):
     odd = ["λόγος ½ £5 ± 3 µg │ ¶ (§ 4)", "Æbel–Øst «Ðarvik» Ångdal „ÂNCORA“", "GEBÜHREN FÜR GRÖSSERE HÄUSER", "La majorité des députés", "ПРАВИТЕЛСТВОТО НЕ ОБЯСНИ", "", "plain"]
     assert list(model.repair(sample(4, 300) + odd)) == []
