@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.words import grams, word_hashes
-from strandlake.session import spread
+from strandlake.operators.suffixes import running_offsets
+from strandlake.session import cut_lineage, spread
 
 #: Characters of evaluation text that one pass over the corpus takes; more texts take more passes.
 BLOCK_CHARS = 16_000_000
+#: Characters from which a single evaluation text is taken in several stretches.
+ITEM_CHARS = 4_000_000
 #: Candidates that are verified at once.
 AT_ONCE = 200_000
 
@@ -144,6 +147,45 @@ def _scan(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _stretches(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Evaluation texts, long ones in stretches that share window - 1 words, so that no window is lost."""
+
+    def cut(text: str) -> Iterator[str]:
+        low = 0
+        while len(text) - low > ITEM_CHARS:
+            high = low + ITEM_CHARS
+            while high < len(text) and (text[high].isalnum() or text[high - 1].isalnum()):
+                high += 1
+            yield text[low:high]
+            back, at = high, 0
+            while at < window - 1 and back > low + 1:
+                back -= 1
+                at += text[back].isalnum() and not text[back - 1].isalnum()
+            low = back
+        yield text[low:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in zip(b.column(0), b.column(1), strict=True):
+                for part in cut(text.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array([part])], ["id", "text"])
+
+    return run
+
+
+def _item_blocks(tests: DataFrame, window: int) -> Iterator[list[tuple[int, str]]]:
+    """The evaluation texts in blocks of BLOCK_CHARS characters, of which the last text may stick out."""
+    rows = tests.mapInArrow(_stretches(window), "id long, text string")
+    size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    if size <= BLOCK_CHARS:
+        yield [tuple(r) for r in rows.collect()]
+        return
+    numbered = cut_lineage(rows.withColumn("n", F.monotonically_increasing_id()))
+    placed = cut_lineage(running_offsets(numbered, "n", {"before": F.char_length("text")}).select((F.col("before") / BLOCK_CHARS).cast("int").alias("block"), "id", "text"))
+    for k in range(-(-size // BLOCK_CHARS)):
+        yield [tuple(r) for r in placed.where(F.col("block") == k).select("id", "text").collect()]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, window: int = 12, budget: int = 1) -> DataFrame:
     """(`doc_id`, `item_id`, `distance`) of each document that holds a passage of an evaluation text: some
     `window` consecutive words of it with at most `budget` words changed, put in or left out; `distance`
@@ -152,8 +194,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     Words are the longest runs of Unicode letters and digits in lower-cased text, compared as 64-bit
     hashes. Every window of every item is cut into budget + 1 pieces, one of which must stand unchanged in
     the text; every position of every document is looked up among the pieces, and each hit is verified.
-    The pieces of at most BLOCK_CHARS characters of items are sent to the workers at a time; a larger set
-    of items is taken in blocks, each with its own pass over the corpus. Documents are not shuffled, unless they
+    The pieces of at most BLOCK_CHARS + ITEM_CHARS characters of items are sent to the workers at a time; a
+    larger set of items is taken in blocks, each with its own pass over the corpus. Documents are not shuffled, unless they
     come in fewer partitions than there are cores.
 
     Null ids are left out; null and empty texts, and items of fewer than `window` words, hold nothing.
@@ -166,12 +208,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     source = spread(source)
     tests = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
-    size = tests.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_CHARS)
     found = spark.createDataFrame([], FOUND)
-    for k in range(blocks):
-        block = tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        pieces = Pieces([tuple(r) for r in block.collect()], window, budget)
-        found = found.union(source.mapInArrow(_scan(pieces), FOUND))
+    for block in _item_blocks(tests, window):
+        if block:
+            found = found.union(source.mapInArrow(_scan(Pieces(block, window, budget)), FOUND))
     best = found.groupBy("doc", "item").agg(F.min("distance").alias("distance"))
     return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "distance")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,7 +131,7 @@ def _table(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
 
 def _pack(kinds: list[tuple[str, int]], path: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, numbers = token_counts(path).count, _numbers(0)
+        count, numbers = token_counts(SparkFiles.get(os.path.basename(path))).count, _numbers(0)
         bins = [OpenBins(capacity, most, numbers) for _, capacity in kinds]
         out: list[tuple] = []
         for b in batches:
@@ -195,7 +196,8 @@ def pack_texts(docs: DataFrame, containers: DataFrame, idx: str, text: str, kind
     the open one that it leaves with least room; when none takes it, the fullest is closed. What is still
     open at the end of a partition is merged, `fan_in` partitions at a time, in as many rounds as it takes;
     no task ever sees more than open_bins x fan_in leftovers of a kind. The first placing is written to the
-    checkpoint folder, so tokens are counted once.
+    checkpoint folder, so tokens are counted once. `vocabulary` is a file of the driver's machine; it is sent
+    to the workers.
 
     Only a text longer than the capacity is cut: into full containers and one remainder, which is placed
     like a text. `token_start` is where a piece begins in its text. Null and empty texts hold no token; they
@@ -208,6 +210,7 @@ def pack_texts(docs: DataFrame, containers: DataFrame, idx: str, text: str, kind
         raise ValueError(f"more than {MAX_KINDS} kinds of containers")
     kinds = sorted((tuple(r) for r in rows), key=lambda r: (r[0] or "", r[1]))
     source = spread(docs.select(F.col(idx).cast("long").alias("id"), F.col(text).alias("text")))
+    docs.sparkSession.sparkContext.addFile(vocabulary)
     parts = max(1, source.rdd.getNumPartitions())
     placed = cut_lineage(source.mapInArrow(_pack(kinds, vocabulary, open_bins), PLACED))
     done = placed.where("NOT open").select("kind", "capacity", F.col("bin").alias("to"), "id", "piece_no", "token_start", "n_tokens")

@@ -76,6 +76,21 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(_table(spark, d, "documents"), _table(spark, d, "containers"), "doc_id", "text")
 
 
+def p6_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of each speech and kind of container, whether it stands in containers whole: once if it fits, else in full
+    pieces and a rest one behind the other; and none of its containers holds more than it can."""
+    placed = p6_packed(spark, d)
+    fill = placed.groupBy("container_kind", "container_id").agg((F.sum("n_tokens") <= F.max("capacity")).alias("fits"))
+    rows = placed.where("container_id IS NOT NULL").join(fill, ["container_kind", "container_id"]).unionByName(placed.where("container_id IS NULL").withColumn("fits", F.col("n_tokens") == 0))
+    own = rows.groupBy("doc_id", "container_kind").agg(
+        F.every("fits").alias("fits"),
+        (F.count(F.lit(1)) == F.max("piece_no") + 1).alias("whole"),
+        (F.sum("n_tokens") == F.max(F.col("token_start") + F.col("n_tokens"))).alias("joined"),
+        F.every((F.col("token_start") == F.col("piece_no") * F.col("capacity")) & (F.col("n_tokens") <= F.col("capacity"))).alias("cut_right"),
+    )
+    return own.select("doc_id", "container_kind", F.expr("fits AND whole AND joined AND cut_right").alias("whole"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text", window=12, budget=1)
 
@@ -97,4 +112,4 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled_texts(_table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_best_hits, p2_found, p2_group_sizes, p4_found, p4_copies, p5_found, p6_packed, p7_found, p7_near, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_best_hits, p2_found, p2_group_sizes, p4_found, p4_copies, p5_found, p6_packed, p6_cover, p7_found, p7_near, p8_found, p8_restored)}

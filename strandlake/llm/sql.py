@@ -33,6 +33,17 @@ _PAIRS = r"""
 words AS (SELECT {id} AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {table}),
 {name} AS (SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM words))"""
 
+def _edited(table: str, idx: str, item: bool) -> str:
+    """Runs of words with one place open: a word changed, left out of the item, or put in between its words."""
+    if item:
+        cases = [("changed", 11, 1, "w[i:i + j - 2], ['*'], w[i + j:i + 11]"), ("left out", 11, 1, "w[i:i + j - 2], w[i + j:i + 11]"), ("put in", 11, 2, "w[i:i + j - 2], ['*'], w[i + j - 1:i + 11]")]
+    else:
+        cases = [("changed", 11, 1, "w[i:i + j - 2], ['*'], w[i + j:i + 11]"), ("left out", 10, 12, "w[i:i + 10]"), ("put in", 12, 2, "w[i:i + j - 2], ['*'], w[i + j:i + 12]")]
+    words = rf"SELECT {idx} AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {table}"
+    each = [f"SELECT id, '{kind}' AS kind, hash(array_to_string(list_concat({words_}), ' ')) AS g FROM (SELECT id, w, i, unnest(range({low}, 13)) AS j FROM (SELECT id, w, unnest(range(1, len(w) - {more} + 1)) AS i FROM x))" for kind, more, low, words_ in cases]
+    return f"WITH x AS ({words}) SELECT DISTINCT * FROM ({' UNION ALL '.join(each)})"
+
+
 SQL = {
     "p1_found": f"""
 WITH best AS (
@@ -55,6 +66,16 @@ SELECT query_idx, rank_no, db_index, rawscore FROM ranked WHERE rank_no = 1""",
     "p4_found": f"WITH {_KEYS} SELECT first_idx, record_idx AS copy_idx FROM keys JOIN groups USING (t, n) WHERE record_idx <> first_idx",
     "p4_copies": f"WITH {_KEYS} SELECT first_idx, copies FROM groups",
     "p5_found": f"WITH {_WINDOWS} SELECT protein_idx, sum(least(32, coalesce(next - pos, 32)))::BIGINT AS shared_len FROM places GROUP BY protein_idx",
+    "p6_cover": "SELECT doc_id, container_kind, true AS whole FROM documents, (SELECT DISTINCT container_kind FROM containers WHERE capacity > 0)",
+    "p7_near": f"""
+WITH d AS (WITH {_PAIRS.format(id="doc_id", table="documents", name="g")} SELECT * FROM g),
+e AS (WITH {_PAIRS.format(id="item_id", table="eval_items", name="g")} SELECT * FROM g),
+de AS ({_edited("documents", "doc_id", False)}), ee AS ({_edited("eval_items", "item_id", True)}),
+pairs AS (
+  SELECT d.id AS doc_id, e.id AS item_id, 0 AS distance FROM d JOIN e USING (g)
+  UNION ALL SELECT de.id, ee.id, 1 FROM de JOIN ee USING (kind, g)
+)
+SELECT doc_id, item_id, min(distance)::INTEGER AS distance FROM pairs GROUP BY doc_id, item_id""",
     "p7_found": f"""
 WITH d AS (WITH {_PAIRS.format(id="doc_id", table="documents", name="g")} SELECT * FROM g),
 e AS (WITH {_PAIRS.format(id="item_id", table="eval_items", name="g")} SELECT * FROM g)

@@ -363,6 +363,7 @@ def test_leaks_against_plain_distance(spark, monkeypatch, budget):
     got = find_leaks(d, i, "doc_id", "text", "item_id", "text", window=8, budget=budget)
     assert {tuple(r) for r in got.collect()} == plain_leaks(docs, items, 8, budget)
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 40)
     assert {tuple(r) for r in find_leaks(d, i, "doc_id", "text", "item_id", "text", window=8, budget=budget).collect()} == plain_leaks(docs, items, 8, budget)
     assert find_leaks(d.limit(0), i, "doc_id", "text", "item_id", "text").collect() == []
     assert find_leaks(d, i.limit(0), "doc_id", "text", "item_id", "text").collect() == []
