@@ -16,6 +16,8 @@ from strandlake.session import cut_lineage, spread
 
 #: Rows of the suffix table in a partition.
 PART_ROWS = 100_000
+#: Kinds of suffixes that are sorted together, in the order of equal ones; a letter after all residues.
+QUERY, RECORD, QUERY_END, AFTER_ALL = 0, 1, 2, "~"
 #: Tasks of a range sort at most; beyond, tasks sort more rows, which Spark spills.
 MOST_TASKS = 20_000
 
@@ -91,25 +93,32 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of suffixes of records before each row of a partition."""
     seen = 0
     for b in batches:
-        db = b.column("kind").to_numpy(zero_copy_only=False)
+        db = (b.column("kind").to_numpy(zero_copy_only=False) == RECORD).astype(np.int64)
         before = seen + np.cumsum(db) - db
         seen += int(db.sum())
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before.astype(np.int64))], [*b.schema.names, "_before"])
 
 
-def insertion_points(queries: DataFrame, proteins: DataFrame, min_length: int, q: str = "query_idx", p: str = "protein_idx", residues: str = "residues") -> DataFrame:
+def insertion_points(queries: DataFrame, proteins: DataFrame, min_length: int, q: str = "query_idx", p: str = "protein_idx", residues: str = "residues", matches: bool = False) -> DataFrame:
     """(`q`, `start`, `position`): for every suffix of a query that is looked up, the number of suffixes of
-    records that come before it. Both sides are sorted together; suffixes of queries come first among equals."""
-    db = suffixes(proteins, p, residues, None).select(F.lit(1).alias("kind"), F.col(p).alias("idx"), "start", "suffix")
-    qs = query_suffixes(queries, q, residues, min_length, None).select(F.lit(0).alias("kind"), F.col(q).alias("idx"), "start", "suffix")
+    records that come before it. Both sides are sorted together; suffixes of queries come first among equals.
+    With `matches` also `num_matches`, the number of suffixes of records that begin with the whole suffix: those
+    up to the place where the suffix would stand with a letter behind it that comes after all residues."""
+    db = suffixes(proteins, p, residues, None).select(F.lit(RECORD).alias("kind"), F.col(p).alias("idx"), "start", "suffix")
+    qs = query_suffixes(queries, q, residues, min_length, None).select(F.lit(QUERY).alias("kind"), F.col(q).alias("idx"), "start", "suffix")
     both = db.unionByName(qs)
+    if matches:
+        both = both.unionByName(qs.withColumns({"kind": F.lit(QUERY_END), "suffix": F.concat("suffix", F.lit(AFTER_ALL))}))
     parts = range_tasks(both.sparkSession, both.count())
     order = ["suffix", "kind", "idx", "start"]
     schema = T.StructType([*both.schema.fields, T.StructField("_before", T.LongType())])
     placed = both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_running, schema)
     done = cut_lineage(placed.select("kind", "idx", "start", "_before").withColumn("_part", F.spark_partition_id()))
-    found = add_bases(done, {"_base": F.col("kind")}).where("kind = 0")
-    return found.select(F.col("idx").alias(q), "start", (F.col("_base") + F.col("_before")).alias("position"))
+    found = add_bases(done, {"_base": (F.col("kind") == RECORD).cast("int")}).where(F.col("kind") != RECORD)
+    found = found.select(F.col("idx").alias(q), "start", (F.col("_base") + F.col("_before")).alias("position"))
+    if not matches:
+        return found
+    return found.groupBy(q, "start").agg(F.min("position").alias("position"), (F.max("position") - F.min("position")).alias("num_matches"))
 
 
 def running_offsets(df: DataFrame, order: str, sizes: dict[str, Column]) -> DataFrame:

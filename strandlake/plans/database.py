@@ -106,6 +106,11 @@ def insertion_point(spark: SparkSession, d: str) -> DataFrame:
     return insertion_points(_table(spark, d, "queries"), _table(spark, d, "proteins"), MIN_LENGTH)
 
 
+def exact_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Of each suffix of the queries where it falls in the suffix order, and how many suffixes begin with it."""
+    return insertion_points(_table(spark, d, "queries"), _table(spark, d, "proteins"), MIN_LENGTH, matches=True)
+
+
 def _words(df: DataFrame, idx: str) -> DataFrame:
     n = F.char_length("residues")
     rows = spread(df.select(idx, "residues").where(n >= WORD)).select(idx, "residues", F.explode(F.sequence(F.lit(0), n - WORD)).alias("start"))
@@ -121,7 +126,7 @@ def word_matches(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("query_idx").agg(F.sum(F.col("places") * F.col("times")).alias("n_matches"), F.count(F.lit(1)).alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (clean_encode, decode, header_ids, residue_composition, self_score, protein_offsets, db_size, fasta_roundtrip, position_to_protein, window_entropies, low_complexity_windows, lookup_suffixes, suffix_rank, insertion_point, word_matches)}
+QUERIES = {f.__name__: f for f in (clean_encode, decode, header_ids, residue_composition, self_score, protein_offsets, db_size, fasta_roundtrip, position_to_protein, window_entropies, low_complexity_windows, lookup_suffixes, suffix_rank, insertion_point, exact_matches, word_matches)}
 
 _LOWER = "abcdefghijklmnopqrstuvwxy"
 _CLEAN = f"regexp_replace(translate(replace(residues, chr(10), ''), '{_LOWER}', '{_LOWER.upper()}'), '[^A-Y*]', 'X', 'g')"
@@ -158,5 +163,6 @@ FROM p JOIN proteins ON position BETWEEN protein_start AND protein_start + prote
     "lookup_suffixes": f"WITH q AS ({_Q}) SELECT query_idx, count(*) AS n, min(suffix) AS first_suffix, max(start)::INTEGER AS last_start FROM q GROUP BY query_idx",
     "suffix_rank": f"WITH s AS ({_DB}) SELECT protein_idx, start::INTEGER AS start, row_number() OVER (ORDER BY suffix, protein_idx, start) - 1 AS suffix_rank FROM s",
     "insertion_point": f"WITH b AS (SELECT 1 AS kind, protein_idx AS idx, start, suffix FROM ({_DB}) UNION ALL SELECT 0, query_idx, start, suffix FROM ({_Q})), r AS (SELECT kind, idx, start, sum(kind) OVER (ORDER BY suffix, kind, idx, start ROWS UNBOUNDED PRECEDING)::BIGINT AS position FROM b) SELECT idx AS query_idx, start::INTEGER AS start, position FROM r WHERE kind = 0",
+    "exact_matches": f"WITH q AS ({_Q}), b AS (SELECT 1 AS kind, protein_idx AS idx, start, suffix FROM ({_DB}) UNION ALL SELECT 0, query_idx, start, suffix FROM q UNION ALL SELECT 2, query_idx, start, suffix || '~' FROM q), r AS (SELECT kind, idx, start, sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END) OVER (ORDER BY suffix, kind, idx, start ROWS UNBOUNDED PRECEDING)::BIGINT AS position FROM b) SELECT idx AS query_idx, start::INTEGER AS start, min(position) AS position, max(position) - min(position) AS num_matches FROM r WHERE kind <> 1 GROUP BY idx, start",
     "word_matches": f"WITH d AS (SELECT w, count(*) AS places FROM ({_windows('proteins', 'protein_idx', WORD)}) GROUP BY w), q AS (SELECT query_idx, w, count(*) AS times FROM ({_windows('queries', 'query_idx', WORD)}) WHERE NOT contains(w, '{UNKNOWN_INTERNAL}') GROUP BY query_idx, w) SELECT query_idx, sum(places * times)::BIGINT AS n_matches, count(*) AS n_words FROM q JOIN d USING (w) GROUP BY query_idx",
 }

@@ -15,7 +15,7 @@ from strandlake.operators.hits import best_seeds, top_hits, top_proteins
 from strandlake.operators.intervals import merge_stretches, operation_length, operation_letter, pack_operation
 from strandlake.operators.masking import segments
 from strandlake.operators.report import fast_columns
-from strandlake.operators.seeds import score_places, seed_walk, suffix_index
+from strandlake.operators.seeds import common_prefixes, right_scores, score_places, seed_walk, suffix_index
 from strandlake.options import EXTENSION, MIN_HSP_TO_ALIGN, SearchOptions
 from strandlake.plans.search import database_size, search_fast as run_fast, search_tabular as run_tabular
 from strandlake.session import cut_lineage, lookup_join, spread
@@ -136,6 +136,18 @@ def seed_scores(spark: SparkSession, d: str) -> DataFrame:
     return score_places(rows, "q_residues", "qend", "p_residues", "send", OPTIONS).select("query_idx", "db_index", "qend", "send", "score", "length")
 
 
+def shared_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """The residues in common from the places on where each hit's alignment ends."""
+    rows = _aligned_pairs(spark, d).where("qend < char_length(q_residues) AND send < char_length(p_residues)")
+    return common_prefixes(rows, "q_residues", "qend", "p_residues", "send").select("query_idx", "db_index", "qend", "send", "lcp")
+
+
+def right_seed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The ungapped pair from the places on where each hit's alignment ends, without a limit to its length."""
+    rows = _aligned_pairs(spark, d).where("qend < char_length(q_residues) AND send < char_length(p_residues)")
+    return right_scores(rows, "q_residues", "qend", "p_residues", "send", OPTIONS).select("query_idx", "db_index", "qend", "send", "right_score", "right_length")
+
+
 def aligned_scores(spark: SparkSession, d: str) -> DataFrame:
     """The local alignment of every pair of a query and a protein that hits name."""
     pairs = cut_lineage(_table(spark, d, "hits").where("is_aligned AND gapless_score >= 40 AND qend >= 0 AND send >= 0").select("query_idx", "db_index").distinct())
@@ -169,7 +181,7 @@ def search_tabular(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hit_totals, hit_best_seed, hit_list, hit_list_whole, hit_statistics, reported_hits, report_lines, missing_proteins, covered_stretches, packed_operations, seed_scores, aligned_scores, masked_stretches, found_seeds, search_fast, search_tabular)
+    for f in (hit_totals, hit_best_seed, hit_list, hit_list_whole, hit_statistics, reported_hits, report_lines, missing_proteins, covered_stretches, packed_operations, seed_scores, shared_prefixes, right_seed_scores, aligned_scores, masked_stretches, found_seeds, search_fast, search_tabular)
 }
 
 _LN_K, _H, _L = math.log(OPTIONS.kappa), OPTIONS.entropy, OPTIONS.lambda_
@@ -191,6 +203,12 @@ best AS (
          CASE WHEN min(suffix_offset) < max(suffix_offset) THEN 1 ELSE 0 END AS suffix_multiple
   FROM hits GROUP BY query_idx, db_index
 )"""
+_PAIRS = """
+pairs AS (
+  SELECT DISTINCT query_idx, db_index, h.qend, h.send, q.residues AS q, p.residues AS p
+  FROM hits h JOIN queries q USING (query_idx) JOIN proteins p ON p.protein_idx = db_index
+  WHERE is_aligned AND gapless_score >= 40 AND h.qend >= 0 AND h.send >= 0 AND h.qend < length(q.residues) AND h.send < length(p.residues)
+)"""
 _M = internal_matrix()
 _MATRIX = ", ".join(f"('{a}', '{b}', {int(_M[i, j])})" for i, a in enumerate(INTERNAL) for j, b in enumerate(INTERNAL))
 
@@ -234,13 +252,20 @@ m AS (SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY db_index ORDER BY b, e
 k AS (SELECT *, sum(new) OVER (PARTITION BY db_index ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS k FROM m)
 SELECT db_index, min(b) AS begin, max(e) AS "end", count(*) AS n FROM k GROUP BY db_index, k""",
     "packed_operations": "WITH p AS (SELECT (gapless_length::BIGINT << 4) | (CASE WHEN suffix_multiple > 0 THEN 1 ELSE 0 END) AS packed FROM hits WHERE gapless_length >= 0) SELECT packed, count(*) AS n, packed >> 4 AS length, CASE packed & 15 WHEN 1 THEN 'I' ELSE 'M' END AS letter FROM p GROUP BY packed",
+    "shared_prefixes": f"WITH {_PAIRS} SELECT query_idx, db_index, qend, send, len(list_filter(range(1, least(length(q) - qend, length(p) - send) + 1), lambda i: q[qend + 1:qend + i] = p[send + 1:send + i]))::INTEGER AS lcp FROM pairs",
+    "right_seed_scores": f"""
+WITH matrix(a, b, v) AS (VALUES {_MATRIX}), {_PAIRS},
+steps AS (
+  SELECT query_idx, db_index, qend, send, i, q[qend + 1 + i] AS a, p[send + 1 + i] AS b
+  FROM (SELECT *, unnest(range(0, least(length(q) - qend, length(p) - send))) AS i FROM pairs)
+), sums AS (SELECT *, sum(v) OVER (PARTITION BY query_idx, db_index, qend, send ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM steps JOIN matrix USING (a, b)),
+best AS (SELECT query_idx, db_index, qend, send, max(s) AS top, max(s * 1000000 + i) % 1000000 AS spot FROM sums WHERE s >= 0 GROUP BY ALL)
+SELECT query_idx, db_index, qend, send,
+  CASE WHEN least(length(q) - qend, length(p) - send) >= 3 AND q[qend + 1] = p[send + 1] THEN coalesce(top, 0) ELSE 0 END::INTEGER AS right_score,
+  CASE WHEN least(length(q) - qend, length(p) - send) >= 3 AND q[qend + 1] = p[send + 1] THEN coalesce(spot, 0) ELSE -1 END::INTEGER AS right_length
+FROM pairs LEFT JOIN best USING (query_idx, db_index, qend, send)""",
     "seed_scores": f"""
-WITH matrix(a, b, v) AS (VALUES {_MATRIX}),
-pairs AS (
-  SELECT DISTINCT query_idx, db_index, h.qend, h.send, q.residues AS q, p.residues AS p
-  FROM hits h JOIN queries q USING (query_idx) JOIN proteins p ON p.protein_idx = db_index
-  WHERE is_aligned AND gapless_score >= 40 AND h.qend >= 0 AND h.send >= 0 AND h.qend < length(q.residues) AND h.send < length(p.residues)
-), steps AS (
+WITH matrix(a, b, v) AS (VALUES {_MATRIX}), {_PAIRS}, steps AS (
   SELECT query_idx, db_index, qend, send, 1 AS side, i, q[qend + 1 + i] AS a, p[send + 1 + i] AS b
   FROM (SELECT *, unnest(range(0, least(length(q) - qend, length(p) - send, {EXTENSION}))) AS i FROM pairs)
   UNION ALL
