@@ -36,12 +36,13 @@ words AS (SELECT {id} AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'
 def _edited(table: str, idx: str, item: bool) -> str:
     """Runs of words with one place open: a word changed, left out of the item, or put in between its words."""
     if item:
-        cases = [("changed", 11, 1, "w[i:i + j - 2], ['*'], w[i + j:i + 11]"), ("left out", 11, 1, "w[i:i + j - 2], w[i + j:i + 11]"), ("put in", 11, 2, "w[i:i + j - 2], ['*'], w[i + j - 1:i + 11]")]
+        cases = [("changed", 12, 1, "g[1:j - 1], ['*'], g[j + 1:12]"), ("left out", 12, 1, "g[1:j - 1], g[j + 1:12]"), ("put in", 12, 2, "g[1:j - 1], ['*'], g[j:12]")]
     else:
-        cases = [("changed", 11, 1, "w[i:i + j - 2], ['*'], w[i + j:i + 11]"), ("left out", 10, 12, "w[i:i + 10]"), ("put in", 12, 2, "w[i:i + j - 2], ['*'], w[i + j:i + 12]")]
-    words = rf"SELECT {idx} AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {table}"
-    each = [f"SELECT id, '{kind}' AS kind, hash(array_to_string(list_concat({words_}), ' ')) AS g FROM (SELECT id, w, i, unnest(range({low}, 13)) AS j FROM (SELECT id, w, unnest(range(1, len(w) - {more} + 1)) AS i FROM x))" for kind, more, low, words_ in cases]
-    return f"WITH x AS ({words}) SELECT DISTINCT * FROM ({' UNION ALL '.join(each)})"
+        cases = [("changed", 12, 1, "g[1:j - 1], ['*'], g[j + 1:12]"), ("left out", 11, 12, "g[1:11], []"), ("put in", 13, 2, "g[1:j - 1], ['*'], g[j + 1:13]")]
+    words = rf"SELECT {idx} AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), 1) AS i FROM {table}"
+    runs = "SELECT id, list(w) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g FROM x"
+    each = [f"SELECT id, '{kind}' AS kind, hash(array_to_string(list_concat({own}), ' ')) AS g FROM (SELECT id, g, unnest(range({low}, 13)) AS j FROM r WHERE len(g) >= {least})" for kind, least, low, own in cases]
+    return f"WITH x AS ({words}), r AS ({runs}) SELECT DISTINCT * FROM ({' UNION ALL '.join(each)})"
 
 
 SQL = {
