@@ -48,7 +48,7 @@ def link_groups(edges: DataFrame, a: str, b: str, seed: int = 7) -> DataFrame:
         nearest = ways.groupBy("v").agg(F.min(_order("w", step)).alias("m"), F.count(F.lit(1)).alias("degree"))
         rep = nearest.select("v", F.least(F.col("m"), _order("v", step))["id"].alias("rep"), "degree")
         rep = cut_lineage(rep)
-        maps.append((rep.select("v", "rep"), rep.count()))
+        maps.append((rep.select("v", "rep"), 2 * n_edges))  # no more vertices than ends
         moved = _relabel(_relabel(edge, "a", rep, n_edges), "b", rep, n_edges)
         old = path
         edge, path = cut_table(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
