@@ -135,7 +135,12 @@ _T = f"(length(w) - length(regexp_replace(w, '[{STANDARD_INTERNAL}]', '', 'g')))
 _ENTROPY = f"CASE WHEN {_T} > 0 THEN log2({_T}) - ({_H}) / {_T} ELSE 0.0 END"
 
 
-def _windows(table: str, idx: str, width: int) -> str:
+def entropy_sql() -> str:
+    """The entropy of a window `w`."""
+    return _ENTROPY
+
+
+def windows_sql(table: str, idx: str, width: int) -> str:
     return f"SELECT {idx}, i AS start, substr(residues, i + 1, {width}) AS w FROM (SELECT {idx}, residues, unnest(range(0, length(residues) - {width} + 1)) AS i FROM {table} WHERE length(residues) >= {width})"
 
 
@@ -158,11 +163,11 @@ WITH t AS (SELECT max(protein_start + protein_len + 1) AS total FROM proteins),
 p AS (SELECT (((query_idx * 7919 + db_index * 104729 + send) % total) + total) % total AS position FROM hits, t WHERE send >= 0)
 SELECT protein_idx, count(*) AS n, min(position - protein_start) AS first_place, max(position - protein_start) AS last_place
 FROM p JOIN proteins ON position BETWEEN protein_start AND protein_start + protein_len GROUP BY protein_idx""",
-    "window_entropies": f"WITH x AS ({_windows('queries', 'query_idx', WINDOW)}) SELECT query_idx, start::INTEGER AS start, round({_ENTROPY}, 6) AS entropy FROM x",
-    "low_complexity_windows": f"WITH x AS ({_windows('proteins', 'protein_idx', WINDOW)}) SELECT protein_idx, count(*) AS n_low, min(start)::INTEGER AS first_start FROM x WHERE {_ENTROPY} <= {TRIGGER}::DOUBLE GROUP BY protein_idx",
+    "window_entropies": f"WITH x AS ({windows_sql('queries', 'query_idx', WINDOW)}) SELECT query_idx, start::INTEGER AS start, round({_ENTROPY}, 6) AS entropy FROM x",
+    "low_complexity_windows": f"WITH x AS ({windows_sql('proteins', 'protein_idx', WINDOW)}) SELECT protein_idx, count(*) AS n_low, min(start)::INTEGER AS first_start FROM x WHERE {_ENTROPY} <= {TRIGGER}::DOUBLE GROUP BY protein_idx",
     "lookup_suffixes": f"WITH q AS ({_Q}) SELECT query_idx, count(*) AS n, min(suffix) AS first_suffix, max(start)::INTEGER AS last_start FROM q GROUP BY query_idx",
     "suffix_rank": f"WITH s AS ({_DB}) SELECT protein_idx, start::INTEGER AS start, row_number() OVER (ORDER BY suffix, protein_idx, start) - 1 AS suffix_rank FROM s",
     "insertion_point": f"WITH b AS (SELECT 1 AS kind, protein_idx AS idx, start, suffix FROM ({_DB}) UNION ALL SELECT 0, query_idx, start, suffix FROM ({_Q})), r AS (SELECT kind, idx, start, sum(kind) OVER (ORDER BY suffix, kind, idx, start ROWS UNBOUNDED PRECEDING)::BIGINT AS position FROM b) SELECT idx AS query_idx, start::INTEGER AS start, position FROM r WHERE kind = 0",
     "exact_matches": f"WITH q AS ({_Q}), b AS (SELECT 1 AS kind, protein_idx AS idx, start, suffix FROM ({_DB}) UNION ALL SELECT 0, query_idx, start, suffix FROM q UNION ALL SELECT 2, query_idx, start, suffix || '~' FROM q), r AS (SELECT kind, idx, start, sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END) OVER (ORDER BY suffix, kind, idx, start ROWS UNBOUNDED PRECEDING)::BIGINT AS position FROM b) SELECT idx AS query_idx, start::INTEGER AS start, min(position) AS position, max(position) - min(position) AS num_matches FROM r WHERE kind <> 1 GROUP BY idx, start",
-    "word_matches": f"WITH d AS (SELECT w, count(*) AS places FROM ({_windows('proteins', 'protein_idx', WORD)}) GROUP BY w), q AS (SELECT query_idx, w, count(*) AS times FROM ({_windows('queries', 'query_idx', WORD)}) WHERE NOT contains(w, '{UNKNOWN_INTERNAL}') GROUP BY query_idx, w) SELECT query_idx, sum(places * times)::BIGINT AS n_matches, count(*) AS n_words FROM q JOIN d USING (w) GROUP BY query_idx",
+    "word_matches": f"WITH d AS (SELECT w, count(*) AS places FROM ({windows_sql('proteins', 'protein_idx', WORD)}) GROUP BY w), q AS (SELECT query_idx, w, count(*) AS times FROM ({windows_sql('queries', 'query_idx', WORD)}) WHERE NOT contains(w, '{UNKNOWN_INTERNAL}') GROUP BY query_idx, w) SELECT query_idx, sum(places * times)::BIGINT AS n_matches, count(*) AS n_words FROM q JOIN d USING (w) GROUP BY query_idx",
 }

@@ -1,10 +1,12 @@
-"""The search in SQL: seeds by a walk over ranked suffixes, alignments by diagonals, and the report."""
+"""The search in SQL: masking, seeds by a walk over ranked suffixes, alignments by diagonals, and the report."""
 
 from __future__ import annotations
 
-from strandlake.functions.alphabet import UNKNOWN_INTERNAL
+from strandlake.functions.alphabet import STANDARD_INTERNAL, UNKNOWN_INTERNAL
 from strandlake.functions.matrices import internal_matrix
+from strandlake.operators.masking import BOUND, MOST_TRIMMED, TRIGGER, WINDOW
 from strandlake.options import EXTENSION, LONG_QUERY, MIN_HSP_TO_ALIGN, SearchOptions
+from strandlake.plans.database import entropy_sql, windows_sql
 
 O = SearchOptions()
 _M = internal_matrix(O.matrix)
@@ -78,7 +80,39 @@ aligned AS (
 )"""
 
 
+def _ln(k: str) -> str:
+    return f"round(lgamma({k} + 1), 6)"
+
+
+_LETTERS = "[" + ", ".join(f"'{x}'" for x in STANDARD_INTERNAL) + "]"
+_COUNTS = f"list_transform({_LETTERS}, lambda x: length(w) - length(replace(w, x, '')))"
+_MULTIPLES = f"list_sum(list_transform(list_distinct(c), lambda k: {_ln('len(list_filter(c, lambda x: x = k))')}))"
+#: How likely the composition `c` of a window `w` is by chance.
+_LIKELY = f"round({_ln('20')} - {_MULTIPLES} + {_ln('length(w)')} - list_sum(list_transform(c, lambda k: {_ln('k')})) - length(w) * ln(20.0::DOUBLE), 9)"
+_LIKELY_AT = f"list_transform([substr(part, a + 1, n)], lambda w: list_transform([{_COUNTS}], lambda c: {_LIKELY})[1])[1]"
+_WIDTHS = f"range(greatest(1, length(part) - {MOST_TRIMMED}) + 1, length(part) + 1)"
+#: Each row looks in a piece of a record, up to `hi`, for the first window from `i` on that is low in entropy; the next
+#: rows look behind the stretch that it gives and, where it lies before its trimmed stretch, in what is left before.
+_STRETCHES = f"""
+x AS ({windows_sql("proteins", "protein_idx", WINDOW)}),
+entropies AS (SELECT protein_idx, list({entropy_sql()} ORDER BY start) AS h FROM x GROUP BY protein_idx),
+work(protein_idx, residues, h, hi, i, first, last) AS (
+  SELECT protein_idx, residues, h, length(residues)::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM proteins JOIN entropies USING (protein_idx)
+  UNION ALL
+  SELECT protein_idx, residues, h, CASE side WHEN 1 THEN hi ELSE first END, CASE side WHEN 1 THEN least(high, last) + 1 ELSE low END, CASE side WHEN 1 THEN first END, CASE side WHEN 1 THEN last END FROM (
+    SELECT *, low + best[3] AS first, low + best[3] - best[2] - 1 AS last, unnest(CASE WHEN s + {WINDOW - 1} < low + best[3] THEN [1, 2] ELSE [1] END) AS side FROM (
+      SELECT *, list_min(flatten(list_transform({_WIDTHS}, lambda n: list_transform(range(0, length(part) - n + 1), lambda a: [{_LIKELY_AT}, -n, a])))) AS best FROM (
+        SELECT *, substr(residues, low + 1, high + {WINDOW} - low) AS part FROM (
+          SELECT *, coalesce(list_max(list_filter(range(i, s), lambda k: h[k + 1] > {BOUND})) + 1, i) AS low,
+                 coalesce(list_min(list_filter(range(s, hi - {WINDOW - 1}), lambda k: h[k + 1] > {BOUND})), hi - {WINDOW - 1}) - 1 AS high FROM (
+            SELECT protein_idx, residues, h, hi, i, list_min(list_filter(range(i, hi - {WINDOW - 1}), lambda k: h[k + 1] <= {TRIGGER})) AS s FROM work) WHERE s IS NOT NULL))))
+), marked AS (
+  SELECT protein_idx, first, last, CASE WHEN first <= lag(last) OVER (PARTITION BY protein_idx ORDER BY first) THEN 0 ELSE 1 END AS new FROM work WHERE first IS NOT NULL
+), islands AS (SELECT *, sum(new) OVER (PARTITION BY protein_idx ORDER BY first ROWS UNBOUNDED PRECEDING) AS k FROM marked)"""
+
+
 SQL = {
+    "masked_stretches": f'WITH RECURSIVE {_STRETCHES} SELECT protein_idx, min(first)::INTEGER AS begin, arg_max(last, first)::INTEGER AS "end" FROM islands GROUP BY protein_idx, k',
     "found_seeds": f"WITH RECURSIVE {_WALK} SELECT * FROM found",
     "aligned_scores": f"""WITH RECURSIVE {_aligned(f"SELECT DISTINCT query_idx AS a, db_index AS b FROM hits WHERE is_aligned AND gapless_score >= {MIN_HSP_TO_ALIGN} AND qend >= 0 AND send >= 0")}
 SELECT query_idx, protein_idx AS db_index, rawscore, qend, send FROM aligned""",
