@@ -66,11 +66,11 @@ letters AS (
   SELECT a, b, q, t, 1, list_transform(q, lambda x: 0), list_transform(q, lambda x: 0), list_transform(q, lambda x: -9999), list_transform(q, lambda x: -9999), 0::BIGINT FROM letters
   UNION ALL
   SELECT a, b, q, t, d + 1, h, h1, e, f,
-    greatest(best, list_max(list_transform(range(1, len(q) + 1), lambda i: CASE WHEN h[i] > 0 THEN h[i] * 10000000000::BIGINT - (d + 1 - i) * 100000 - i ELSE 0 END))) FROM (
-    SELECT *, list_transform(range(1, len(q) + 1), lambda i: CASE WHEN d + 1 - i BETWEEN 1 AND len(t) THEN greatest(0, coalesce(h2[i - 1], 0) + {_SCORES}[q[i] + t[d + 1 - i]], e[i], f[i]) ELSE 0 END) AS h FROM (
+    CASE WHEN list_max(h) * 10000000000::BIGINT > best THEN greatest(best, list_max(list_transform(h, lambda x, i: x * 10000000000::BIGINT - (d + 1 - i) * 100000 - i))) ELSE best END FROM (
+    SELECT *, list_transform(q, lambda x, i: CASE WHEN d + 1 - i BETWEEN 1 AND len(t) THEN greatest(0, coalesce(h2[i - 1], 0) + {_SCORES}[x + t[d + 1 - i]], e[i], f[i]) ELSE 0 END) AS h FROM (
       SELECT a, b, q, t, d, h1, h2, best,
-        list_transform(range(1, len(q) + 1), lambda i: greatest(e[i] - {O.gap_extend}, h1[i] - {O.gap_open})) AS e,
-        list_transform(range(1, len(q) + 1), lambda i: CASE WHEN i > 1 THEN greatest(f[i - 1] - {O.gap_extend}, h1[i - 1] - {O.gap_open}) ELSE -9999 END) AS f
+        list_transform(e, lambda x, i: greatest(x - {O.gap_extend}, h1[i] - {O.gap_open})) AS e,
+        [-9999] || list_transform(f[:-2], lambda x, i: greatest(x - {O.gap_extend}, h1[i] - {O.gap_open})) AS f
       FROM dp WHERE d < len(q) + len(t)))
 ), scored AS (SELECT a, b, best, CASE WHEN best = 0 THEN 0 ELSE (best + 9999999999) // 10000000000 END AS s FROM dp WHERE d >= len(q) + len(t)),
 aligned AS (
