@@ -331,7 +331,7 @@ class Model:
         strict: dict[str, str] = {}
         for c in sorted(whole, key=lambda c: (sum(map(self.knows, made[c].values())), chains[c], -c)):
             strict |= made[c]
-        ways = [(max(chains[c] for c in whole), {w: self.undone(r) for w, r in strict.items()})] if whole else []
+        ways = [(max(chains[c] for c in whole), self.undone(strict))] if whole else []
         if single := [c for c in chains if not IS_UTF8[c] and c != len(NAMES) - 1]:
             c = max(single, key=lambda c: (chains[c], -c))
             ways.append((chains[c], self.likewise(text, c, words)))
@@ -341,20 +341,28 @@ class Model:
         most = min(chains, key=lambda c: (-chains[c], c))
         return NAMES[most], sum(c in chains for c, _, _ in words.values()), restored
 
-    def undone(self, word: str) -> str:
-        """A restored word, freed of UTF-8 chains that it still shows: some texts were garbled more than once."""
+    def undone(self, made: dict[str, str]) -> dict[str, str]:
+        """Words and what they are restored to, freed of UTF-8 chains that it still shows: some texts were
+        garbled more than once."""
+        words = list(made.values())
+        left = [k for k, w in enumerate(words) if not w.isascii()]
         for _ in range(MOST_STEPS):
-            if word.isascii():
+            if not left:
                 break
-            own = Words(_flat([word]))
-            margin = own.scores(self.table).sum(0)
-            margin -= margin[0]
-            likely = [c for c in np.argsort(-margin) if IS_UTF8[c] and margin[c] > MARGIN_UTF8]
-            better = next((r for c in likely if (r := restore(word, CHAINS[c - 1])) not in (None, word)), None)
-            if better is None:
-                break
-            word = better
-        return word
+            own = Words(_flat([words[k] for k in left]))
+            margin = np.zeros((len(left), len(NAMES)), np.float32)
+            np.add.at(margin, own.text_of, own.scores(self.table))
+            margin -= margin[:, :1].copy()
+            again = []
+            for n in np.flatnonzero((margin[:, IS_UTF8] > MARGIN_UTF8).any(1)):
+                k = left[n]
+                likely = [c for c in np.argsort(-margin[n]) if IS_UTF8[c] and margin[n, c] > MARGIN_UTF8]
+                better = next((r for c in likely if (r := restore(words[k], CHAINS[c - 1])) not in (None, words[k])), None)
+                if better is not None:
+                    words[k] = better
+                    again.append(k)
+            left = [k for k in again if not words[k].isascii()]
+        return dict(zip(made, words, strict=True))
 
     def likewise(self, text: str, c: int, found: dict[str, Finding]) -> dict[str, str]:
         """The words beyond ASCII of a text that the single-byte chain `c`, which is sure for the text, has most
