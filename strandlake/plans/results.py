@@ -120,14 +120,15 @@ def packed_operations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _aligned_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _with_residues(_table(spark, d, "hits").where("is_aligned AND gapless_score >= 40").select("query_idx", "db_index", "qend", "send").where("qend >= 0 AND send >= 0").distinct(), spark, d)
+    pairs = _table(spark, d, "hits").where("is_aligned AND gapless_score >= 40").select("query_idx", "db_index", "qend", "send").where("qend >= 0 AND send >= 0").distinct()
+    return _with_residues(cut_lineage(pairs), spark, d)
 
 
 def _with_residues(hits: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     n = hits.count()
     q = _table(spark, d, "queries").select("query_idx", F.col("residues").alias("q_residues"))
     p = _table(spark, d, "proteins").select(F.col("protein_idx").alias("db_index"), F.col("residues").alias("p_residues"))
-    return lookup_join(lookup_join(hits, p, "db_index", n, "inner"), q, "query_idx", n, "inner")
+    return lookup_join(lookup_join(hits, p, "db_index", n, "inner"), q, "query_idx", n, "inner", hits)
 
 
 def seed_scores(spark: SparkSession, d: str) -> DataFrame:

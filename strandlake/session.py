@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 HOT_MIN_ROWS = 20_000
 #: A key is hot from this fraction of all rows on, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1_000
+#: Tables up to this size are broadcast, as Spark does by default.
+BROADCAST_BYTES = 10 << 20
+#: Parts that the rows of a hot key are spread over.
+SALTS = 64
 
 
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
@@ -81,19 +85,27 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
         _written.reset(before)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, n_left: int, how: str = "left") -> DataFrame:
-    """Join `left` to `right`, which holds each `key` once, though few keys may own most of `left`.
+def estimated_bytes(df: DataFrame) -> int:
+    """The size of a table as the optimizer knows it from its files; of what is computed, an upper estimate."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    Keys with more than n_left / HOT_SHARE rows are counted first. There are at most HOT_SHARE of
-    them, so their rows of `right` are broadcast; all other keys take the ordinary shuffle join.
-    Null keys find no partner: they are kept by a left join and left out by an inner or semi join.
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str, n_left: int, how: str = "left", counted: DataFrame | None = None) -> DataFrame:
+    """Join `left` to `right`, which holds each `key` once or in few rows, though few keys may own most of `left`.
+
+    Keys with more than n_left / HOT_SHARE rows are counted first, in `counted` where a narrower table with the
+    same keys is at hand. There are at most HOT_SHARE of them; their rows of `left` are spread over SALTS
+    parts, to each of which their rows of `right` are copied. All other keys take one part, so that each side
+    is read once. Null keys find no partner: they are kept by a left join and left out by an inner or semi join.
+    A `right` of at most BROADCAST_BYTES is broadcast instead.
     """
     if n_left < HOT_MIN_ROWS:
         return left.join(right, key, how)
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if estimated_bytes(right) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), key, how)
+    counts = (left if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(counts.where(F.col("_n") > n_left // HOT_SHARE).select(key, F.lit(True).alias("_hot")))
-    marked = left.join(hot, key, "left")
-    some = F.broadcast(right.join(hot.drop("_hot"), key, "left_semi"))
-    fast = marked.where("_hot").drop("_hot").join(some, key, how)
-    rest = marked.where("_hot IS NULL").drop("_hot").join(right, key, how)
-    return fast.unionByName(rest)
+    spread_out = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).otherwise(0))
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return spread_out.drop("_hot").join(copied, [key, "_salt"], how).drop("_salt")

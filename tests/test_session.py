@@ -29,6 +29,7 @@ def test_spread_leaves_wide_tables_alone(spark):
 def test_hot_keys_join_like_all_others(spark, monkeypatch):
     monkeypatch.setattr(session, "HOT_MIN_ROWS", 10)
     monkeypatch.setattr(session, "HOT_SHARE", 3)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     left = spark.range(90).select(F.when(F.col("id") < 60, 1).when(F.col("id") < 80, F.col("id")).cast("long").alias("k"), "id")
     right = spark.createDataFrame([(1, "hot"), (61, "cold"), (500, "none")], "k long, v string")
     for how, n in (("left", 90), ("inner", 61), ("left_semi", 61)):
