@@ -9,7 +9,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 from oracle import SMALL
-from test_search import TABLE, plain_hsp
+from test_search import TABLE, plain_hsp, plain_trace
 
 from strandlake.functions import alphabet as A
 from strandlake.options import SearchOptions
@@ -82,9 +82,10 @@ def test_aligned_scores(spark, residues):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
-def test_search_fast(spark, residues, walked):
+@pytest.fixture(scope="module")
+def reported(residues, walked):
+    """(query, protein, E-value, bit score) of the hits of a search."""
     queries, proteins = residues
-    names, ids = dict(table("queries", "query_idx, query_id")), dict(table("proteins", "protein_idx, seq_id"))
     o, n, p = SearchOptions(), sum(len(r or "") for r in proteins.values()), len(proteins)
     lists = defaultdict(list)
     for (q, k), own in walked.items():
@@ -94,11 +95,36 @@ def test_search_fast(spark, residues, walked):
             nats = o.lambda_ * score - math.log(o.kappa)
             e = max(len(queries[q]) - cut, 1) * max(n - cut * p, 1) * math.exp(-nats)
             lists[q].append((-nats / math.log(2), -gapless, k, e if e > 1e-180 else 0.0))
-    want = [(names[q], ids[k], f"{e:.3e}", int(-bits)) for q, own in lists.items() for bits, _, k, e in sorted(own)[: o.hits] if e <= o.evalue]
+    return [(q, k, f"{e:.3e}", int(-bits)) for q, own in lists.items() for bits, _, k, e in sorted(own)[: o.hits] if e <= o.evalue]
+
+
+@pytest.fixture(scope="module")
+def names():
+    return dict(table("queries", "query_idx, query_id")), dict(table("proteins", "protein_idx, seq_id"))
+
+
+def test_search_fast(spark, names, reported):
+    want = [(names[0][q], names[1][k], *rest) for q, k, *rest in reported]
     got = [tuple(r) for r in catalog.QUERIES["search_fast"](spark, str(SMALL)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and want
 
 
+def test_search_tabular(spark, residues, names, reported):
+    """All columns; a path whose ties lie beyond the band may differ, which few do."""
+    queries, proteins = residues
+    want = []
+    for q, k, e, bits in reported:
+        _, q_end, t_end = plain_alignment(queries[q], proteins[k])
+        _, back_q, back_t = plain_alignment(queries[q][q_end::-1], proteins[k][t_end::-1])
+        first_q, first_t = q_end - back_q, t_end - back_t
+        length, opened, mismatched, same = plain_trace(queries[q][first_q : q_end + 1], proteins[k][first_t : t_end + 1], 11, 1)
+        want.append((names[0][q], names[1][k], f"{same / length * 100:.2f}", length, mismatched, opened, first_q + 1, q_end + 1, first_t + 1, t_end + 1, e, bits))
+    got = [tuple(r) for r in catalog.QUERIES["search_tabular"](spark, str(SMALL)).collect()]
+    ends = [0, 1, 6, 7, 8, 9, 10, 11]
+    assert sorted(([r[c] for c in ends] for r in got), key=repr) == sorted(([r[c] for c in ends] for r in want), key=repr)
+    assert len(set(got) - set(want)) <= 0.02 * len(want)
+
+
 def plain_stretches(text: str, offset: int = 0) -> list[tuple[int, int]]:
     """Low-complexity stretches by counting every window anew."""
 
