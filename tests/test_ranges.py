@@ -59,3 +59,13 @@ def test_each_range_is_a_task(spark, monkeypatch):
     proteins = spark.createDataFrame(texts(3, 60, "ABCDE"), "protein_idx long, residues string")
     queries = spark.createDataFrame(texts(4, 30, "ABCDE"), "query_idx long, residues string")
     assert insertion_points(queries, proteins, 5).rdd.getNumPartitions() > 5
+
+
+def test_ranks_of_suffixes_against_plain_ones(spark, monkeypatch):
+    split(monkeypatch, 500)
+    monkeypatch.setattr(suffixes, "cut_lineage", lambda df: pytest.fail("suffixes were written"))
+    rows = texts(5, 60, "AB\0é")
+    order = sorted((t[s:].encode(), i, s) for i, t in rows if t for s in range(len(t)))
+    ranked = suffix_ranks(spark.createDataFrame(rows, "protein_idx long, residues string"))
+    assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, ranked.collect())) == sorted((i, s, k) for k, (_, i, s) in enumerate(order))
