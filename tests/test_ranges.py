@@ -69,3 +69,11 @@ def test_ranks_of_suffixes_against_plain_ones(spark, monkeypatch):
     ranked = suffix_ranks(spark.createDataFrame(rows, "protein_idx long, residues string"))
     assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, ranked.collect())) == sorted((i, s, k) for k, (_, i, s) in enumerate(order))
+
+
+def test_insertion_points_move_no_suffixes(spark):
+    proteins = spark.createDataFrame([(1, "ABCABC"), (2, "BCABCABC")], "protein_idx long, residues string")
+    queries = spark.createDataFrame([(1, "CABCABC")], "query_idx long, residues string")
+    found = insertion_points(queries, proteins, 5)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 13), (1, 1, 2)]
